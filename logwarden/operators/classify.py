@@ -8,10 +8,14 @@ a generated ``contains``, and an event's matches are an array in its row.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logwarden.operators.rules import RULE_SCHEMA, RULES, Rule
+from logwarden.session import once_per_session
 
 BASE_CONFIDENCE = 0.7
 THREAT_SCORE = 5
@@ -31,21 +35,14 @@ def is_critical() -> Column:
     return F.col("severity") == "critical"
 
 
-def _literal(value) -> Column:
-    if isinstance(value, list):
-        return F.array(*[F.lit(v) for v in value]).cast("array<string>")
-    return F.lit(value)
-
-
 def _rule_array(rules: list[Rule]) -> Column:
-    fields = RULE_SCHEMA.fields
-    return F.array(*[
-        F.struct(*[_literal(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, r.row(i))])
-        for i, r in enumerate(rules)])
+    """The table as one constant array of structs (folded by the optimizer)."""
+    rows = [dict(zip(RULE_SCHEMA.names, r.row(i))) for i, r in enumerate(rules)]
+    return F.from_json(F.lit(json.dumps(rows)), T.ArrayType(RULE_SCHEMA))
 
 
-def match_rules(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Events with ``_matched``: their rules as structs, by priority then definition order."""
+@once_per_session
+def _match_columns(rules: tuple[Rule, ...]) -> tuple[Column, Column, Column]:
     ordered = sorted(rules, key=lambda r: r.priority)
     event_type = F.col("_type")
 
@@ -58,10 +55,20 @@ def match_rules(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
         return hit
 
     positions = F.array_compact(F.array(*[F.when(condition(r), i) for i, r in enumerate(ordered)]))
-    return (events.withColumn("_type", F.lower(F.coalesce(F.col("event_type"), F.lit(""))))
-            .withColumn("_positions", positions)
-            .withColumn("_matched", F.transform("_positions", lambda i: F.get(_rule_array(ordered), i)))
-            .drop("_type", "_positions"))
+    return (F.lower(F.coalesce(F.col("event_type"), F.lit(""))), F.explode(F.array(positions)),
+            F.transform("_positions", lambda i: F.get(_rule_array(ordered), i)))
+
+
+def match_rules(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Events with ``_matched``: their rules as structs, by priority then definition order.
+
+    The positions come from a generator, not a projection: filters on the score
+    would be pushed through a projection and copy the event type's expression
+    into every pattern test.
+    """
+    event_type, positions, matched = _match_columns(tuple(rules))
+    return (events.withColumn("_type", event_type).select("*", positions.alias("_positions"))
+            .withColumn("_matched", matched).drop("_type", "_positions"))
 
 
 def classify_events(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from logwarden.functions.text import explode_match, is_blank, unmark, unpack
 from logwarden.schemas import EVENT_SCHEMA
+from logwarden.session import once_per_session
 
 MAX_LINE_LENGTH = 32_768  # fixed value: longer lines are cut
 
@@ -35,7 +36,7 @@ class LogFormat:
     verdict: Callable[[Column, Column, Column, Column], Column] | None = None
 
 
-def _by_type(formats: list[LogFormat], pick: Callable[[LogFormat], Column | None]) -> Column | None:
+def _by_type(formats: tuple[LogFormat, ...], pick: Callable[[LogFormat], Column | None]) -> Column | None:
     """CASE over the log type; a plain expression when there is one format."""
     branches = [(f.name, pick(f)) for f in formats]
     branches = [(name, col) for name, col in branches if col is not None]
@@ -49,34 +50,14 @@ def _by_type(formats: list[LogFormat], pick: Callable[[LogFormat], Column | None
     return case
 
 
-def parse_lines(lines: DataFrame, formats: Iterable[LogFormat]) -> DataFrame:
-    """Events of ``lines(log_id, line_number, raw_line[, log_type])``.
-
-    With several formats each line is parsed by the one its ``log_type`` names;
-    lines of other types give no event. With one format the column is not
-    needed. Narrow transformation: no shuffle, no Python.
-    """
-    formats = list(formats)
-    line, h, data, d = F.col("_line"), F.col("_h"), F.col("_data"), F.col("_d")
-    v = F.col("_v")
-    log_type = F.lit(formats[0].name) if len(formats) == 1 else F.col("log_type")
-
-    staged = lines.filter(~is_blank(F.col("raw_line"))).select(
-        F.col("log_id").cast("long").alias("log_id"),
-        F.col("line_number").cast("int").alias("line_number"),
-        log_type.alias("log_type"),
-        unmark(F.substring(F.col("raw_line"), 1, MAX_LINE_LENGTH)).alias("_line"))
-    staged = staged.select("*", explode_match(_by_type(formats, lambda f: f.header(line))).alias("_packed"))
-    staged = staged.withColumn("_h", unpack(F.col("_packed"))).drop("_packed")
+@once_per_session
+def _stages(formats: tuple[LogFormat, ...]) -> tuple[Column, Column, Column, Column, list[Column]]:
+    """The columns of all stages: header, data, detail, verdict, event columns."""
+    line, h, data, d, v = (F.col(c) for c in ("_line", "_h", "_data", "_d", "_v"))
+    header = _by_type(formats, lambda f: f.header(line))
     data_case = _by_type(formats, lambda f: f.data(line) if f.data else None)
-    no_map = F.lit(None).cast("map<string,string>")
-    staged = staged.withColumn("_data", no_map if data_case is None else data_case)
-    detail_case = _by_type(formats, lambda f: f.detail(line, h, data) if f.detail else None)
-    staged = staged.withColumn(
-        "_d", unpack(F.lit(None).cast("string") if detail_case is None else detail_case))
-
-    verdict_case = _by_type(formats, lambda f: f.verdict(line, h, data, d) if f.verdict else None)
-    staged = staged.withColumn("_v", F.lit(None).cast("string") if verdict_case is None else verdict_case)
+    detail = _by_type(formats, lambda f: f.detail(line, h, data) if f.detail else None)
+    verdict = _by_type(formats, lambda f: f.verdict(line, h, data, d) if f.verdict else None)
 
     per_format = {f.name: f.fields(line, h, data, d, v) for f in formats}
     columns = [F.col("log_id"), F.col("log_type")]
@@ -87,4 +68,31 @@ def parse_lines(lines: DataFrame, formats: Iterable[LogFormat]) -> DataFrame:
         default = line if field.name == "raw_line" else F.lit(None)
         value = _by_type(formats, lambda f, n=field.name, dflt=default: per_format[f.name].get(n, dflt))
         columns.append(value.cast(field.dataType).alias(field.name))
-    return staged.select(*columns)
+    none = F.lit(None)
+    return (
+        explode_match(header).alias("_packed"),
+        none.cast("map<string,string>") if data_case is None else data_case,
+        unpack(none.cast("string") if detail is None else detail),
+        none.cast("string") if verdict is None else verdict,
+        columns)
+
+
+def parse_lines(lines: DataFrame, formats: Iterable[LogFormat]) -> DataFrame:
+    """Events of ``lines(log_id, line_number, raw_line[, log_type])``.
+
+    With several formats each line is parsed by the one its ``log_type`` names;
+    lines of other types give no event. With one format the column is not
+    needed. Narrow transformation: no shuffle, no Python.
+    """
+    formats = tuple(formats)
+    header, data, detail, verdict, columns = _stages(formats)
+    log_type = F.lit(formats[0].name) if len(formats) == 1 else F.col("log_type")
+    return (lines.filter(~is_blank(F.col("raw_line")))
+            .select(F.col("log_id").cast("long").alias("log_id"),
+                    F.col("line_number").cast("int").alias("line_number"),
+                    log_type.alias("log_type"),
+                    unmark(F.substring(F.col("raw_line"), 1, MAX_LINE_LENGTH)).alias("_line"))
+            .select("*", header)
+            .withColumn("_h", unpack(F.col("_packed"))).drop("_packed")
+            .withColumn("_data", data).withColumn("_d", detail).withColumn("_v", verdict)
+            .select(*columns))

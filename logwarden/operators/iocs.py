@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from logwarden.functions import network as N
 from logwarden.functions.arrays import keep_first, let
 from logwarden.functions.text import is_blank, strip
+from logwarden.session import once_per_session
 
 # Patterns. Two are written without nested repetition that the JVM
 # would run recursively: `DOMAIN` takes its labels possessively and eats a run
@@ -179,9 +180,14 @@ def extract_from_text(text: Column, include_private: bool = False) -> Column:
     return F.when(~is_blank(text), let(refang(text), hits))
 
 
+@once_per_session
+def _extract_from_column(text: str, include_private: bool) -> Column:
+    return extract_from_text(F.col(text), include_private)
+
+
 def text_iocs(df: DataFrame, text: str, *keys: str, include_private: bool = False) -> DataFrame:
     """One row per indicator of each text, with its position."""
-    found = extract_from_text(F.col(text), include_private)
+    found = _extract_from_column(text, include_private)
     return df.select(*keys, F.posexplode(found).alias("position", "_ioc")).select(
         *keys, "position", "_ioc.ioc_type", "_ioc.value", "_ioc.confidence", "_ioc.context")
 
@@ -245,6 +251,7 @@ def _texts() -> Column:
     return F.concat(fields, F.coalesce(from_data, empty), F.array(entry(F.lit("raw_line"), F.col("raw_line"))))
 
 
+@once_per_session
 def event_iocs(include_private: bool = False, max_iocs: int | None = MAX_IOCS_PER_EVENT) -> tuple[Column, Column]:
     """(texts, iocs) expressions; ``iocs`` reads the column ``_texts``.
 
@@ -294,9 +301,14 @@ def add_event_iocs(events: DataFrame, include_private: bool = False,
 
 
 def explode_iocs(events: DataFrame) -> DataFrame:
-    """One row per event and indicator."""
+    """One row per event and indicator.
+
+    An exploded plain column would get an inferred "not empty" filter, which is
+    pushed down to where the array is made and makes it twice; an exploded
+    expression does not.
+    """
     return events.select(
-        "log_id", "line_number", F.posexplode("iocs").alias("position", "_ioc")).select(
+        "log_id", "line_number", F.posexplode(F.array_compact("iocs")).alias("position", "_ioc")).select(
         "log_id", "line_number", "position", "_ioc.ioc_type", "_ioc.value", "_ioc.confidence",
         "_ioc.source_field", "_ioc.context")
 

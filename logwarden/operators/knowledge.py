@@ -142,7 +142,7 @@ def chunk_docs(docs: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP_
         F.array_join(F.slice("_pieces", c["first"], c["last"] - c["first"] + 1), ""))))
     keep = [c for c in docs.columns if c != "content"]
     return (texts.select(*keep, F.size("_chunks").alias("total_chunks"),
-                         F.posexplode("_chunks").alias("chunk_index", "text"))
+                         F.posexplode(F.array_compact("_chunks")).alias("chunk_index", "text"))
             .withColumn("node_id", F.sha2(F.concat_ws("#", "doc_hash", "source_path", "chunk_index"), 256)))
 
 

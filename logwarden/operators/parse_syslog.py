@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,6 +110,7 @@ def _fields_for(assume_year: int | None):
     return fields
 
 
+@cache
 def linux_syslog(assume_year: int | None = None) -> LogFormat:
     """RFC 3164 lines carry no year: ``assume_year``, or the current UTC year."""
     return LogFormat("linux_syslog", _header, _fields_for(assume_year), detail=_detail)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,6 +141,7 @@ def _fields_for(system_time: str):
     return fields
 
 
+@cache
 def sysmon(both_quotes: bool = False) -> LogFormat:
     """Data fields with single-quoted names, as stored; optionally both quotes."""
     pattern = X.BOTH_QUOTES if both_quotes else X.SINGLE_QUOTES

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -256,11 +257,13 @@ def _nginx_fields(line: Column, h: Column, data: Column, d: Column, v: Column) -
     return columns
 
 
+@cache
 def apache_access() -> LogFormat:
     return LogFormat("apache_access", _apache_header, _apache_fields, detail=_decoded,
                      verdict=_request_type(APACHE_ATTACKS))
 
 
+@cache
 def nginx_access() -> LogFormat:
     return LogFormat("nginx_access", _nginx_header, _nginx_fields, detail=_decoded,
                      verdict=_request_type(NGINX_ATTACKS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,6 +120,7 @@ def _fields_for(system_time: str):
     return fields
 
 
+@cache
 def windows_event(both_quotes: bool = False) -> LogFormat:
     pattern = X.BOTH_QUOTES if both_quotes else X.SINGLE_QUOTES
     return LogFormat("windows_event", _header,

@@ -104,3 +104,10 @@ def delete_by_doc_hash(chunks: DataFrame, doc_hash: str) -> tuple[DataFrame, Dat
     doomed = F.col("doc_hash") == doc_hash
     return (chunks.filter(~F.coalesce(doomed, F.lit(False))),
             chunks.filter(doomed).agg(F.count(F.lit(1)).alias("deleted")))
+
+
+def delete_by_doc_hashes(chunks: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As `delete_by_doc_hash` for a table of hashes: (remaining, deleted per hash)."""
+    doomed = hashes.select("doc_hash").distinct()
+    deleted = chunks.join(doomed, "doc_hash", "left_semi").groupBy("doc_hash").agg(F.count(F.lit(1)).alias("deleted"))
+    return chunks.join(doomed, "doc_hash", "left_anti"), deleted

@@ -56,7 +56,8 @@ def process_lines(lines: DataFrame, overrides: DataFrame | None = None, assume_y
         types = detect_with_override(logs, detected)
     events = parse_logs(with_log_type(lines, types), assume_year, formats or default_formats(assume_year))
     events = limit_events(events, max_events)
-    return types, classify_events(add_event_iocs(events, include_private), rules)
+    # classified first, so that a filter on the score also spares the indicator scan
+    return types, add_event_iocs(classify_events(events, rules), include_private)
 
 
 def run_logs(lines: DataFrame, **options) -> LogRun:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,3 +68,22 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once_per_session(build: Callable) -> Callable:
+    """Remember the column expressions a function builds.
+
+    Columns are unresolved trees that fit any DataFrame with the named columns.
+    Building the large ones takes thousands of calls into the JVM, which is
+    worth doing once per Spark context. Arguments must be hashable.
+    """
+    kept: dict = {}
+
+    @functools.wraps(build)
+    def cached(*args, **kwargs):
+        key = (id(SparkContext._active_spark_context), args, tuple(sorted(kwargs.items())))
+        if key not in kept:
+            kept[key] = build(*args, **kwargs)
+        return kept[key]
+
+    return cached

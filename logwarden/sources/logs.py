@@ -16,7 +16,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 def decode(content: Column) -> Column:
     """Bytes as UTF-8 when valid, else Latin-1 (which never fails); a BOM is dropped."""
     as_utf8 = content.cast("string")
-    text = F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(F.decode(content, F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(F.decode(content, "ISO-8859-1"))
     return F.regexp_replace(text, "^\ufeff", "")
 
 
@@ -80,7 +80,7 @@ def read_big_log_lines(spark: SparkSession, path: str | list[str], glob: str | N
         "_file", "_block", "_first",
         F.coalesce(F.sum("_lines").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.bool_or("_latin1").over(Window.partitionBy("_file")).alias("_latin1"))
-    text = F.when(F.col("_latin1"), F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1"))).otherwise(F.col("value"))
+    text = F.when(F.col("_latin1"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value"))
     numbered = raw.join(splits, ["_file", "_block"]).select(
         F.xxhash64("_file").alias("log_id"),
         (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("int").alias("line_number"),
