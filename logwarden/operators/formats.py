@@ -7,7 +7,7 @@ stage is a CASE on the log type instead of one scan per format.
   header(line)                 packed header match, or null to drop the line
   data(line)                   map of named data fields (XML formats), or None
   detail(line, h, data)        packed second-level match, or None
-  verdict(line, h, data, d)    event type where it needs the stages above, or None
+  verdict(line, h, data, d)    event type
   fields(line, h, data, d, v)  event columns by name
 """
 
@@ -30,10 +30,10 @@ MAX_LINE_LENGTH = 32_768  # fixed value: longer lines are cut
 class LogFormat:
     name: str
     header: Callable[[Column], Column]
+    verdict: Callable[[Column, Column, Column, Column], Column]
     fields: Callable[[Column, Column, Column, Column, Column], dict[str, Column]]
     data: Callable[[Column], Column] | None = None
     detail: Callable[[Column, Column, Column], Column] | None = None
-    verdict: Callable[[Column, Column, Column, Column], Column] | None = None
 
 
 def _by_type(formats: tuple[LogFormat, ...], pick: Callable[[LogFormat], Column | None]) -> Column | None:
@@ -57,7 +57,7 @@ def _stages(formats: tuple[LogFormat, ...]) -> tuple[Column, Column, Column, Col
     header = _by_type(formats, lambda f: f.header(line))
     data_case = _by_type(formats, lambda f: f.data(line) if f.data else None)
     detail = _by_type(formats, lambda f: f.detail(line, h, data) if f.detail else None)
-    verdict = _by_type(formats, lambda f: f.verdict(line, h, data, d) if f.verdict else None)
+    verdict = _by_type(formats, lambda f: f.verdict(line, h, data, d))
 
     per_format = {f.name: f.fields(line, h, data, d, v) for f in formats}
     columns = [F.col("log_id"), F.col("log_type")]
@@ -65,6 +65,9 @@ def _stages(formats: tuple[LogFormat, ...]) -> tuple[Column, Column, Column, Col
         if field.name == "line_number":
             columns.append(F.col("line_number"))
             continue
+        if field.name == "event_type":
+            columns.append(v.alias("event_type"))
+            continue
         default = line if field.name == "raw_line" else F.lit(None)
         value = _by_type(formats, lambda f, n=field.name, dflt=default: per_format[f.name].get(n, dflt))
         columns.append(value.cast(field.dataType).alias(field.name))
@@ -73,7 +76,7 @@ def _stages(formats: tuple[LogFormat, ...]) -> tuple[Column, Column, Column, Col
         explode_match(header).alias("_packed"),
         none.cast("map<string,string>") if data_case is None else data_case,
         unpack(none.cast("string") if detail is None else detail),
-        none.cast("string") if verdict is None else verdict,
+        F.explode(F.array(verdict)).alias("_v"),
         columns)
 
 
@@ -83,6 +86,9 @@ def parse_lines(lines: DataFrame, formats: Iterable[LogFormat]) -> DataFrame:
     With several formats each line is parsed by the one its ``log_type`` names;
     lines of other types give no event. With one format the column is not
     needed. Narrow transformation: no shuffle, no Python.
+
+    The event type comes from a generator for the same reason as the header: a
+    later filter on it must not repeat the patterns that decide it.
     """
     formats = tuple(formats)
     header, data, detail, verdict, columns = _stages(formats)
@@ -94,5 +100,5 @@ def parse_lines(lines: DataFrame, formats: Iterable[LogFormat]) -> DataFrame:
                     unmark(F.substring(F.col("raw_line"), 1, MAX_LINE_LENGTH)).alias("_line"))
             .select("*", header)
             .withColumn("_h", unpack(F.col("_packed"))).drop("_packed")
-            .withColumn("_data", data).withColumn("_d", detail).withColumn("_v", verdict)
+            .withColumn("_data", data).withColumn("_d", detail).select("*", verdict)
             .select(*columns))

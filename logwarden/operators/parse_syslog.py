@@ -74,6 +74,10 @@ def _detail(line: Column, h: Column, data: Column) -> Column:
         packed("System Log"))
 
 
+def _verdict(line: Column, h: Column, data: Column, d: Column) -> Column:
+    return part(d, _TYPE)
+
+
 def detect_service(process: Column) -> Column:
     case = F.when(process.contains(SERVICES[0][0]), SERVICES[0][1])
     for needle, service in SERVICES[1:]:
@@ -89,7 +93,6 @@ def _fields_for(assume_year: int | None):
         flag = part(d, _FLAG)
         sudo = part(d, _TTY).isNotNull()
         return {
-            "event_type": part(d, _TYPE),
             "username": part(d, _USER),
             "source_ip": part(d, _IP),
             "source_port": to_int(part(d, _PORT)),
@@ -113,4 +116,4 @@ def _fields_for(assume_year: int | None):
 @cache
 def linux_syslog(assume_year: int | None = None) -> LogFormat:
     """RFC 3164 lines carry no year: ``assume_year``, or the current UTC year."""
-    return LogFormat("linux_syslog", _header, _fields_for(assume_year), detail=_detail)
+    return LogFormat("linux_syslog", _header, _verdict, _fields_for(assume_year), detail=_detail)

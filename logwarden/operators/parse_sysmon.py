@@ -101,7 +101,6 @@ def _fields_for(system_time: str):
         raw_time = first_group(line, system_time)
         return {
             "raw_line": F.substring(line, 1, MAX_STORED_XML),
-            "event_type": v,
             "hostname": F.coalesce(
                 F.when(is_id(3), F.nullif(get("destinationhostname"), F.lit(""))),
                 strip(first_group(line, X.COMPUTER))),
@@ -145,5 +144,5 @@ def _fields_for(system_time: str):
 def sysmon(both_quotes: bool = False) -> LogFormat:
     """Data fields with single-quoted names, as stored; optionally both quotes."""
     pattern = X.BOTH_QUOTES if both_quotes else X.SINGLE_QUOTES
-    return LogFormat("sysmon", _header, _fields_for(X.SYSTEM_TIME_BOTH if both_quotes else X.SYSTEM_TIME),
-                     data=lambda line: X.data_map(line, pattern, strip_values=True), verdict=_verdict)
+    return LogFormat("sysmon", _header, _verdict, _fields_for(X.SYSTEM_TIME_BOTH if both_quotes else X.SYSTEM_TIME),
+                     data=lambda line: X.data_map(line, pattern, strip_values=True))

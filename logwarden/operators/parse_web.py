@@ -154,13 +154,23 @@ def _decoded(line: Column, h: Column, data: Column) -> Column:
     return unmark(url_decode_twice(F.get(h, F.lit(_PATH))))
 
 
-def _request_type(patterns: AttackPatterns):
-    def verdict(line: Column, h: Column, data: Column, d: Column) -> Column:
-        request = classify_request(F.get(d, F.lit(_DECODED)), to_int(part(h, _STATUS)),
-                                   part(h, _AGENT), _size(h), patterns)
-        return F.when(F.get(h, F.lit(_KIND)) == "access", request)
+def _request_type(h: Column, d: Column, patterns: AttackPatterns) -> Column:
+    """Event type of an access line, null for an error line."""
+    request = classify_request(F.get(d, F.lit(_DECODED)), to_int(part(h, _STATUS)), part(h, _AGENT), _size(h), patterns)
+    return F.when(F.get(h, F.lit(_KIND)) == "access", request)
 
-    return verdict
+
+def _apache_verdict(line: Column, h: Column, data: Column, d: Column) -> Column:
+    return F.coalesce(_request_type(h, d, APACHE_ATTACKS), F.lit("Web Server Error"))
+
+
+def _nginx_verdict(line: Column, h: Column, data: Column, d: Column) -> Column:
+    level = F.lower(part(h, _LEVEL))
+    error_type = (F.when(part(h, _MESSAGE).rlike(NGINX_UPSTREAM), "Upstream Proxy Error")
+                  .when(level.isin(*ERROR_LEVELS), "Web Server Error")
+                  .when(level == "warn", "Web Server Warning")
+                  .otherwise("Web Server Event"))
+    return F.coalesce(_request_type(h, d, NGINX_ATTACKS), error_type)
 
 
 def _common(h: Column, is_access: Column, when_error: dict[str, Column]) -> dict[str, Column]:
@@ -210,7 +220,6 @@ def _apache_fields(line: Column, h: Column, data: Column, d: Column, v: Column)
         "event_timestamp": apache_error_timestamp(part(h, _TIME)),
         "service": F.lit("HTTP"),
     })
-    columns["event_type"] = F.coalesce(v, F.lit("Web Server Error"))
     columns["user_agent"] = F.when(is_access, agent)
     columns["normalized_data"] = F.when(is_access, F.create_map(
         F.lit("referer"), part(h, _REFERER),
@@ -231,10 +240,6 @@ def _nginx_fields(line: Column, h: Column, data: Column, d: Column, v: Column) -
     size, level, message = _size(h), F.lower(part(h, _LEVEL)), part(h, _MESSAGE)
     upstream = F.when(message.rlike(NGINX_UPSTREAM),
                       F.coalesce(first_group(message, NGINX_UPSTREAM), F.lit("upstream")))
-    error_type = (F.when(message.rlike(NGINX_UPSTREAM), "Upstream Proxy Error")
-                  .when(level.isin(*ERROR_LEVELS), "Web Server Error")
-                  .when(level == "warn", "Web Server Warning")
-                  .otherwise("Web Server Event"))
     columns = _common(h, is_access, {
         "source_ip": first_group(message, NGINX_CLIENT),
         "url": first_group(message, NGINX_REQUEST, 2),
@@ -244,7 +249,6 @@ def _nginx_fields(line: Column, h: Column, data: Column, d: Column, v: Column) -
         "event_timestamp": F.try_to_timestamp(
             F.concat(part(h, _TIME), F.lit(" +0000")), F.lit("yyyy/MM/dd HH:mm:ss Z")),
     })
-    columns["event_type"] = F.coalesce(v, error_type)
     columns["user_agent"] = F.when(is_access, agent)
     columns["normalized_data"] = F.when(is_access, F.create_map(
         F.lit("referer"), F.nullif(part(h, _REFERER), F.lit("-")),
@@ -259,11 +263,9 @@ def _nginx_fields(line: Column, h: Column, data: Column, d: Column, v: Column) -
 
 @cache
 def apache_access() -> LogFormat:
-    return LogFormat("apache_access", _apache_header, _apache_fields, detail=_decoded,
-                     verdict=_request_type(APACHE_ATTACKS))
+    return LogFormat("apache_access", _apache_header, _apache_verdict, _apache_fields, detail=_decoded)
 
 
 @cache
 def nginx_access() -> LogFormat:
-    return LogFormat("nginx_access", _nginx_header, _nginx_fields, detail=_decoded,
-                     verdict=_request_type(NGINX_ATTACKS))
+    return LogFormat("nginx_access", _nginx_header, _nginx_verdict, _nginx_fields, detail=_decoded)

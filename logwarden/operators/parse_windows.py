@@ -83,12 +83,19 @@ def _data(pattern: str):
     return data
 
 
+def _event_id(h: Column) -> Column:
+    return X.digits(F.nullif(F.get(h, F.lit(_ID)), F.lit("")))
+
+
+def _verdict(line: Column, h: Column, data: Column, d: Column) -> Column:
+    return F.coalesce(F.try_element_at(X.literal_map(EVENT_TYPES), _event_id(h)), F.lit("Windows Event"))
+
+
 def _fields_for(system_time: str):
     def fields(line: Column, h: Column, data: Column, d: Column, v: Column) -> dict[str, Column]:
         kind = F.get(h, F.lit(_KIND))
         is_xml = kind == "xml"
-        event_id = X.digits(F.nullif(F.get(h, F.lit(_ID)), F.lit("")))
-        by_id = F.try_element_at(X.literal_map(EVENT_TYPES), event_id)
+        event_id = _event_id(h)
 
         def pick(first: str, second: str) -> Column:
             return F.coalesce(F.nullif(X.field(data, first), F.lit("")), X.field(data, second))
@@ -98,7 +105,6 @@ def _fields_for(system_time: str):
         raw_time = F.when(is_xml, xml_time).otherwise(text_time)
         xml_port = pick("ipport", "sourceport")
         return {
-            "event_type": F.coalesce(by_id, F.lit("Windows Event")),
             "hostname": F.when(is_xml, first_group(line, X.COMPUTER)),
             "timestamp_raw": raw_time,
             "event_timestamp": windows_timestamp(raw_time),
@@ -123,5 +129,5 @@ def _fields_for(system_time: str):
 @cache
 def windows_event(both_quotes: bool = False) -> LogFormat:
     pattern = X.BOTH_QUOTES if both_quotes else X.SINGLE_QUOTES
-    return LogFormat("windows_event", _header,
+    return LogFormat("windows_event", _header, _verdict,
                      _fields_for(X.SYSTEM_TIME_BOTH if both_quotes else X.SYSTEM_TIME), data=_data(pattern))
