@@ -111,13 +111,13 @@ def _without_brackets(m: Column) -> Column:
 
 
 def ipv4_values(text: Column, include_private: bool = False) -> Column:
+    def bad(n: Column) -> Column:
+        unusable = N.is_loopback(n) | N.is_multicast(n)
+        return unusable if include_private else unusable | N.is_private(n)
+
     def keep(m: Column) -> Column:
         ip = _without_brackets(m)
-        n = N.ipv4_number(ip)
-        bad = ip.isin(*BENIGN_IPS) | N.is_loopback(n) | N.is_multicast(n)
-        if not include_private:
-            bad = bad | N.is_private(n)
-        return N.is_ipv4(ip) & ~bad
+        return F.when(N.is_ipv4(ip) & ~ip.isin(*BENIGN_IPS), ~let(N.ipv4_number(ip), bad)).otherwise(False)
 
     return F.filter(_matches(text, IPV4, text.rlike(r"\d")), keep)
 
@@ -202,15 +202,17 @@ def _full_hit(ioc_type: Column, value: Column, confidence: float, field: str) ->
 
 
 def _ip_field(name: str, include_private: bool) -> Column:
-    ip = strip(F.col(name))
-    n = N.ipv4_number(ip)
-    v4_ok = N.is_ipv4(ip) & ~N.is_loopback(n) & (n != 0)
-    if not include_private:
-        v4_ok = v4_ok & ~N.is_private(n)
-    skip = ip.isin("-", "::1", "127.0.0.1", "0.0.0.0")
-    v6 = N.canonical_ipv6(ip)
-    return (F.when(ip.contains(":"), F.when(~skip & v6.isNotNull(), _full_hit(F.lit("ipv6"), v6, 1.0, name)))
-            .when(~skip & v4_ok, _full_hit(F.lit("ipv4"), ip, 1.0, name)))
+    def usable(n: Column) -> Column:
+        ok = ~N.is_loopback(n) & (n != 0)
+        return ok if include_private else ok & ~N.is_private(n)
+
+    def hit(ip: Column) -> Column:
+        skip = ip.isin("-", "::1", "127.0.0.1", "0.0.0.0")
+        v6 = let(N.canonical_ipv6(ip), lambda v: F.when(v.isNotNull(), _full_hit(F.lit("ipv6"), v, 1.0, name)))
+        v4 = F.when(N.is_ipv4(ip), F.when(let(N.ipv4_number(ip), usable), _full_hit(F.lit("ipv4"), ip, 1.0, name)))
+        return F.when(~skip, F.when(ip.contains(":"), v6).otherwise(v4))
+
+    return let(strip(F.col(name)), hit)
 
 
 def _username_field() -> Column:

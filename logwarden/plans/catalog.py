@@ -24,7 +24,7 @@ from logwarden.operators.rules import rules_df
 from logwarden.plans import event_lines as E
 from logwarden.plans.ingest import ingest_documents
 from logwarden.plans.log_run import limit_events, process_lines
-from logwarden.session import scratch_path
+from logwarden.session import scratch_path, spread
 from logwarden.sources import documents as Docs
 from logwarden.sources import logs as Logs
 from logwarden.sources import tables as Tables
@@ -35,7 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def events_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,7 +354,8 @@ def q_ioc_hash(spark, sf):
 
 
 def q_ioc_url(spark, sf):
-    return _typed(table(spark, sf, "pages"), "html", "page_id", "url")
+    pages = table(spark, sf, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
+    return _typed(pages, "text", "page_id", "url")
 
 
 def q_ioc_domain(spark, sf):
@@ -703,8 +704,7 @@ def q_bm25_stats(spark, sf):
 
 
 def q_bm25_search(spark, sf):
-    found = S.bm25_search(S.build_bm25(document_nodes(spark, sf)), text_queries(spark, sf))
-    return found.withColumn("score", F.round("score", 6))
+    return S.bm25_search(S.build_bm25(document_nodes(spark, sf)), text_queries(spark, sf))
 
 
 def q_dense_search(spark, sf):

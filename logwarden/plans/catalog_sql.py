@@ -185,7 +185,7 @@ BM25 = f"""tok AS (SELECT node_id, text, {words('lower(text)')} AS ws FROM nodes
   idf AS (SELECT term, df, CASE WHEN raw < 0 THEN m * 0.25 ELSE raw END AS idf FROM r, mi)"""
 BM25_TOP = f"""{BM25},
   q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({words('lower(text)')}) AS term FROM benchmark) GROUP BY 1, 2),
-  sp AS (SELECT query_id, node_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 8) AS score
+  sp AS (SELECT query_id, node_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 6) AS score
     FROM p JOIN q USING (term) JOIN idf USING (term), n GROUP BY 1, 2),
   sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM sp) WHERE rank <= 30 AND score > 0)"""
 DOC_NODES = "nodes AS (SELECT doc_id AS node_id, text FROM documents)"
@@ -321,7 +321,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT doc_id, 'ipv4' AS ioc_type, v AS value FROM y WHERE regexp_matches(v, '^\d+\.\d+\.\d+\.\d+$')
               AND v NOT IN ({', '.join(quoted(i) for i in BENIGN_IPS)}) AND NOT CASE WHEN regexp_matches(v, '^\d+\.\d+\.\d+\.\d+$') THEN {_PRIVATE} ELSE true END""",
         "ioc_hash": " UNION ALL ".join(_hash_sql(k, n) for k, n in (("md5", 32), ("sha1", 40), ("sha256", 64))),
-        "ioc_url": rf"""SELECT DISTINCT page_id, 'url' AS ioc_type, substr(m, 1, 2048) AS value FROM (SELECT page_id, unnest(regexp_extract_all({refanged('html')},
+        "ioc_url": rf"""SELECT DISTINCT page_id, 'url' AS ioc_type, substr(m, 1, 2048) AS value FROM (SELECT page_id, unnest(regexp_extract_all({refanged("(url || ' ' || html)")},
             '(?i)(?:https?|hxxps?|h__ps?|ftps?|sftp)(?:://|%3A%2F%2F)[^\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}"''<>\[\]{{}}|\\^`]{{3,}}')) AS m FROM pages)""",
         "ioc_domain": r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS value FROM pages)
             SELECT page_id, value FROM h WHERE regexp_matches(value, '^(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,6}$')
@@ -331,8 +331,8 @@ def oracle_sql() -> dict[str, str]:
               {TEXT_IOC_CONFIDENCE}::DOUBLE[] AS c FROM e)
             SELECT event_id, generate_subscripts(t, 1) - 1 AS position, unnest(t) AS ioc_type, unnest(v) AS value, unnest(c) AS confidence FROM k""",
         "text_ioc_context": f"""WITH {EVENTS}, k AS (SELECT event_id, 'CVE-2024-' || (10000 + event_id % 90000) AS value, {refanged('(' + line(E.THREAT_NOTE) + ')')} AS t FROM events),
-              a AS (SELECT *, strpos(t, value) AS at FROM k)
-            SELECT event_id, value, trim(substr(t, greatest(at - 40, 1), at - greatest(at - 40, 1) + 40)) AS context FROM a""",
+              a AS (SELECT *, strpos(t, value) AS ps FROM k)
+            SELECT event_id, value, trim(substr(t, greatest(ps - 40, 1), ps - greatest(ps - 40, 1) + 40)) AS context FROM a""",
         "event_iocs": f"""WITH {SYSLOG_IOCS} SELECT log_id, line_number, position::BIGINT AS position, h.t AS ioc_type, h.v AS value, h.c::DOUBLE AS confidence, h.f AS source_field FROM si""",
         "ioc_dedup": f"WITH {SYSLOG_IOCS} SELECT * FROM sf",
         "rules": f"""{C5}, r1 AS (SELECT DISTINCT rule_id, score, tech FROM rules), hits AS (SELECT m.rule_id, count(*) AS n FROM m JOIN x5 USING (log_type, event_type) GROUP BY 1)
@@ -433,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_postings": f"WITH {DOC_NODES}, {BM25} SELECT term, node_id, tf, dl FROM p",
         "bm25_terms": f"WITH {DOC_NODES}, {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
         "bm25_stats": f"WITH {DOC_NODES}, {BM25} SELECT n_nodes, round(avg_len, 6) AS avg_len FROM n",
-        "bm25_search": f"WITH {DOC_NODES}, {BM25_TOP} SELECT query_id, node_id, round(score, 6) AS score, rank FROM sparse",
+        "bm25_search": f"WITH {DOC_NODES}, {BM25_TOP} SELECT query_id, node_id, score, rank FROM sparse",
         "dense_search": f"""WITH {CENTROIDS}, nodes AS (SELECT vec_id AS node_id, embedding, label FROM embeddings), {dense('ce', 'nodes', 30)}
             SELECT query_id, node_id, score, rank FROM dense""",
         "dense_search_filtered": f"""WITH {CENTROIDS}, nodes AS (SELECT vec_id AS node_id, embedding, label FROM embeddings), {dense('ce', 'nodes', 5, 'label = 3')}

@@ -58,6 +58,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/logwarden/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores.
+
+    Pattern matching is bound by CPU, and a small file is one split. A large
+    input has splits enough and is left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage at a fork: write the table to the shared folder and read it back.
 
