@@ -16,9 +16,10 @@ from logwarden.functions.text import is_blank, strip
 from logwarden.session import once_per_session
 
 # Patterns. Two are written without nested repetition that the JVM
-# would run recursively: `DOMAIN` takes its labels possessively and eats a run
-# that is no domain as one skipped match, `EMAIL` starts only where a run starts
-# (or where the last match ended). Both give the same matches, in linear time.
+# would run recursively: `DOMAIN` steps over its labels possessively, past every
+# possible top-level domain that has another one ahead, and eats a run without
+# any as one skipped match; `EMAIL` starts only where a run starts (or where the
+# last match ended). Both give the same matches, in linear time.
 IPV4 = (r"(?<![.\d])((?:(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]\d|\d)(?:\[?\.\]?|\(?\.?\)?)){3}"
         r"(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]\d|\d))(?![.\d])")
 IPV6 = (r"(?U)(?<![:\w])((?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
@@ -33,8 +34,10 @@ IPV6 = (r"(?U)(?<![:\w])((?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
         r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)|::1|::)(?![:\w])")
 URL = r"(?iU)((?:https?|hxxps?|h__ps?|ftps?|sftp)(?:://|%3A%2F%2F)[^\s\"'<>\[\]{}|\\^`]{3,}+)"
 _LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\[?\.\]?"
-DOMAIN = (rf"(?iU)(?<![/@\w])(?:((?:{_LABEL})++(?:com|net|org|io|gov|mil|edu|co|uk|de|ru|cn|fr|nl|info|biz|"
-          r"int|arpa|xyz|online|site|tech|store|app|dev|[a-z]{2,6})(?::\d{2,5})?(?![.\w]))"
+_TLD = (r"(?:com|net|org|io|gov|mil|edu|co|uk|de|ru|cn|fr|nl|info|biz|int|arpa|xyz|online|site|tech|store|app|dev|"
+        r"[a-z]{2,6})(?::\d{2,5})?(?![.\w])")
+_NO_TLD = rf"(?:(?!{_TLD}){_LABEL})*+"
+DOMAIN = (rf"(?iU)(?<![/@\w])(?:({_LABEL}(?:{_NO_TLD}(?={_TLD}){_LABEL}(?={_NO_TLD}{_TLD}))*+{_NO_TLD}{_TLD})"
           rf"|(?:{_LABEL})++)")
 EMAIL = r"(?:(?<![a-zA-Z0-9._%+\-])|\G)([a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"
 SHA256 = r"(?<![0-9a-fA-F])([0-9a-fA-F]{64})(?![0-9a-fA-F])"

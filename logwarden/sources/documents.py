@@ -71,10 +71,10 @@ def doc_hash(content: Column) -> Column:
 
 def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Whole text files: path and content, from all sub-folders."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
+    return reader.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("content"))
 
 
@@ -155,7 +155,8 @@ def json_docs(objects: DataFrame) -> DataFrame:
         F.lit(": "), F.to_json(e["value"])))
     fallback = F.when(F.size(rest) > 0, F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}")))
     content = F.coalesce(*[text(k) for k in CONTENT_KEYS], fallback)
-    rows = fields.withColumn("content", content).filter(F.col("content").isNotNull())
+    # a generator drops the rows without content and keeps the filter from repeating the lookups
+    rows = fields.select("*", F.explode(F.array_compact(F.array(content))).alias("content"))
 
     metadata = F.transform_values(
         F.map_filter("_fields", lambda k, v: ~k.isin(*NOT_METADATA, "filename", "loader", "jsonl_line") & is_scalar(v)),
