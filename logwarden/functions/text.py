@@ -85,7 +85,16 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WS[1:]}+"))
+    """Number of words: the gaps between them, plus one.
+
+    Counting gaps is several times faster than matching words by the negated
+    class, which the JVM tests member by member.
+    """
+    def edge(char: Column) -> Column:
+        return F.when(char.rlike(WS), 1).otherwise(0)
+
+    gaps = F.size(F.split(text, f"{WS}+"))
+    return F.when(text == "", 0).otherwise(gaps - edge(F.left(text, F.lit(1))) - edge(F.right(text, F.lit(1))))
 
 
 def tokens(text: Column) -> Column:
