@@ -104,8 +104,8 @@ def _hashes(text: Column, pattern: str, length: int) -> Column:
     return F.filter(found, lambda m: ~F.lower(m).isin(*BENIGN_HASHES))
 
 
-def _labelled(text: Column, pattern: str, label: str) -> Column:
-    found = _matches(text, pattern, F.lower(text).contains(label))
+def _labelled(text: Column, lower: Column, pattern: str, label: str) -> Column:
+    found = _matches(text, pattern, lower.contains(label))
     return F.filter(found, lambda m: ~F.lower(m).isin(*BENIGN_HASHES))
 
 
@@ -140,7 +140,10 @@ def domain_values(text: Column) -> Column:
 
 def _text_hits(text: Column, include_private: bool) -> Column:
     """Hits of one refanged text, in the fixed order of the extractors."""
-    lower = F.lower(text)
+    return let(F.lower(text), lambda lower: _ordered_hits(text, lower, include_private))
+
+
+def _ordered_hits(text: Column, lower: Column, include_private: bool) -> Column:
     slash = text.contains("/")
     return F.concat(
         _hits(_hashes(text, SHA256, 64), "sha256", 1.0, F.lower),
@@ -158,9 +161,9 @@ def _text_hits(text: Column, include_private: bool) -> Column:
               "file_path", 0.85),
         _hits(_matches(text, REGISTRY_KEY, lower.contains("hk")), "file_path", 1.0),
         _hits(_matches(text, FILENAME, text.contains(".")), "filename", 0.75, F.lower),
-        _hits(_labelled(text, LABELLED_SHA256, "sha256="), "sha256", 1.0, F.lower),
-        _hits(_labelled(text, LABELLED_SHA1, "sha1="), "sha1", 1.0, F.lower),
-        _hits(_labelled(text, LABELLED_MD5, "md5="), "md5", 0.9, F.lower),
+        _hits(_labelled(text, lower, LABELLED_SHA256, "sha256="), "sha256", 1.0, F.lower),
+        _hits(_labelled(text, lower, LABELLED_SHA1, "sha1="), "sha1", 1.0, F.lower),
+        _hits(_labelled(text, lower, LABELLED_MD5, "md5="), "md5", 0.9, F.lower),
     )
 
 

@@ -46,16 +46,22 @@ def validate_docs(docs: DataFrame, min_chars: int = MIN_CHARS, max_chars: int =
         F.when(F.col("reason").isNull(), warnings).otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 
-def mark_duplicates(docs: DataFrame, stored_hashes: DataFrame | None, *order: str) -> DataFrame:
-    """Documents with ``is_duplicate``: stored before, or a later copy in this batch."""
-    first = Window.partitionBy("doc_hash").orderBy(*order)
-    ranked = docs.withColumn("_copy", F.row_number().over(first))
+def mark_duplicates(docs: DataFrame, stored_hashes: DataFrame | None, *order: str | Column) -> DataFrame:
+    """Documents with ``is_duplicate``: stored before, or a later copy in this batch.
+
+    ``order`` must be unique within a hash. The first copy of each hash comes
+    from a map-side minimum and is joined back; a text copied into a third of
+    the documents is then split over tasks by the skew join, where ranking its
+    copies would sort them all in one.
+    """
+    keyed = docs.withColumn("_key", F.struct(*order))
+    first = keyed.groupBy("doc_hash").agg(F.min("_key").alias("_first"))
+    marked = keyed.join(first, "doc_hash").withColumn("_later", F.col("_key") > F.col("_first"))
     if stored_hashes is None:
-        return ranked.withColumn("is_duplicate", F.col("_copy") > 1).drop("_copy")
+        return marked.select(*docs.columns, F.col("_later").alias("is_duplicate"))
     known = stored_hashes.select("doc_hash").distinct().withColumn("_stored", F.lit(True))
-    return (ranked.join(known, "doc_hash", "left")
-            .withColumn("is_duplicate", (F.col("_copy") > 1) | F.col("_stored").isNotNull())
-            .drop("_copy", "_stored"))
+    return marked.join(known, "doc_hash", "left").select(
+        *docs.columns, (F.col("_later") | F.col("_stored").isNotNull()).alias("is_duplicate"))
 
 
 def drop_duplicate_docs(docs: DataFrame, stored_hashes: DataFrame | None, *order: str) -> DataFrame:

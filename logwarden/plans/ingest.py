@@ -36,7 +36,8 @@ def ingest_documents(files: DataFrame, stored: DataFrame | None = None,
     ``failed`` with a reason. ``stored`` holds earlier chunks. Without an encoder
     the hashing embedding is used. All documents of a file are indexed.
     """
-    checked = mark_duplicates(validate_docs(load_docs(files)), stored, "source_path")
+    item = F.coalesce(F.try_element_at("metadata", F.lit("item")).try_cast("int"), F.lit(0))
+    checked = mark_duplicates(validate_docs(load_docs(files)), stored, F.col("source_path"), item)
     checked = write_and_read(checked, "documents")
     status = (F.when(~F.col("is_valid"), "failed").when(F.col("is_duplicate"), "skipped_duplicate")
               .otherwise("indexed"))

@@ -121,14 +121,15 @@ def json_objects(files: DataFrame) -> DataFrame:
 
 
 def json_docs(objects: DataFrame) -> DataFrame:
-    """Documents of JSON objects (``path, jsonl_line, object``).
+    """Documents of JSON objects (``path, jsonl_line, object`` and perhaps ``item``).
 
     Content is the first non-blank text among the content keys, else the scalar
     fields as JSON. Other scalar fields become metadata (as text).
     """
     path = F.col("path")
+    item = F.col("item") if "item" in objects.columns else F.lit(None)
     fields = objects.filter(F.col("object").isNotNull()).select(
-        "path", "jsonl_line", F.from_json("object", "map<string,variant>").alias("_fields"))
+        "path", "jsonl_line", item.cast("string").alias("_item"), F.from_json("object", "map<string,variant>").alias("_fields"))
 
     def kind(v: Column) -> Column:
         return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
@@ -159,9 +160,9 @@ def json_docs(objects: DataFrame) -> DataFrame:
     rows = fields.select("*", F.explode(F.array_compact(F.array(content))).alias("content"))
 
     metadata = F.transform_values(
-        F.map_filter("_fields", lambda k, v: ~k.isin(*NOT_METADATA, "filename", "loader", "jsonl_line") & is_scalar(v)),
+        F.map_filter("_fields", lambda k, v: ~k.isin(*NOT_METADATA, "filename", "loader", "jsonl_line", "item") & is_scalar(v)),
         lambda k, v: F.try_variant_get(v, "$", "string"))
-    base = F.create_map(F.lit("filename"), filename(path), F.lit("loader"), F.lit("json"))
+    base = F.create_map(F.lit("filename"), filename(path), F.lit("loader"), F.lit("json"), F.lit("item"), F.col("_item"))
     line = F.when(F.col("jsonl_line").isNotNull(), F.create_map(F.lit("jsonl_line"), F.col("jsonl_line").cast("string"))) \
             .otherwise(F.create_map().cast("map<string,string>"))
     own_id = F.when(scalar("id").rlike(r"(?iU)^CVE-\d{4}-\d{4,7}\b"), scalar("id"))

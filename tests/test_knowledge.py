@@ -85,6 +85,14 @@ def test_ingest(spark):
     assert again.chunks.count() == 0 and again.files.filter("status = 'skipped_duplicate'").count() == 4
 
 
+def test_equal_items_of_one_file_are_indexed_once(spark):
+    good = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    files = spark.createDataFrame([("/kb/a.json", '[{"text": "%s"}, {"text": "%s"}, {"text": "%s"}]' % (good, good, good))], "path string, content string")
+    result = ingest_documents(files)
+    assert sorted(r.status for r in result.files.collect()) == ["indexed", "skipped_duplicate", "skipped_duplicate"]
+    assert result.chunks.count() == 1
+
+
 def brute_dense(q, v, k):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     s = np.round(unit(q) @ unit(v).T, 6)
