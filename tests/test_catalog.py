@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
@@ -22,7 +23,7 @@ def con():
 
 
 def norm(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return None
     v = v.item() if hasattr(v, "item") else v
     if isinstance(v, float):
