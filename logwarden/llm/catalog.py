@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import chat_format, decontaminate, quality, url_filter
+from logwarden.llm import chat_format, decontaminate, packing, quality, url_filter
+from logwarden.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,7 @@ LISTED_URLS = ("cheap-pills.example.com/", "spam-farm.example.org/")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -38,6 +40,16 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, trusted))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed(table(spark, sf, "documents")).drop("copy")
+
+
 def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
                                   "conv_id long, turn long, role string, text string")
@@ -53,7 +65,7 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op6_url_filter, op7_quality, op10_chat_format)}
+    return {f.__name__: f for f in (op3_decontaminate, op6_url_filter, op7_quality, op9_packing, op10_chat_format)}
 
 
 SQL = {}

@@ -60,8 +60,8 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
                 F.lit(width), F.coalesce(F.get(p, k + 1) - F.get(p, k), F.lit(width)))))
 
     hashes = F.transform(starts(F.size(words), width), hashed)
-    repeats = bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), of_repeats(
-        F.array_sort(F.transform(h, lambda x, i: F.named_struct(F.lit("h"), x, F.lit("i"), i))))).otherwise(0))
+    repeats = bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), bind(F.array_sort(
+        F.transform(h, lambda x, i: F.named_struct(F.lit("h"), x, F.lit("i"), i))), of_repeats)).otherwise(0))
     return repeats.cast("long")
 
 
