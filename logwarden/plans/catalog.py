@@ -24,7 +24,7 @@ from logwarden.operators.rules import rules_df
 from logwarden.plans import event_lines as E
 from logwarden.plans.ingest import ingest_documents
 from logwarden.plans.log_run import limit_events, process_lines
-from logwarden.session import scratch_path, spread
+from logwarden.session import scratch_path, ship_package, spread
 from logwarden.sources import documents as Docs
 from logwarden.sources import logs as Logs
 from logwarden.sources import tables as Tables
@@ -35,6 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
