@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import chat_format, decontaminate, packing, quality, url_filter
+from logwarden.llm import chat_format, decontaminate, packing, quality, sentence_dedup, simhash, url_filter
 from logwarden.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_sentence_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_dedup.spans(table(spark, sf, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     listed = spark.createDataFrame([(u,) for u in LISTED_URLS], "key string")
     return url_filter.filter_urls(table(spark, sf, "pages"), listed, URL_RULES) \
@@ -40,6 +44,10 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, trusted))
 
 
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.classes(table(spark, sf, "documents"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +73,8 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op6_url_filter, op7_quality, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op3_decontaminate, op5_sentence_dedup, op6_url_filter, op7_quality, op8_simhash, op9_packing,
+                                     op10_chat_format)}
 
 
 SQL = {}
