@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import chat_format, decontaminate, packing, quality, sentence_dedup, simhash, url_filter
+from logwarden.llm import chat_format, decontaminate, packing, quality, sentence_dedup, simhash, substring_dedup, url_filter
 from logwarden.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     rows = decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
@@ -73,7 +77,7 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op5_sentence_dedup, op6_url_filter, op7_quality, op8_simhash, op9_packing,
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_decontaminate, op5_sentence_dedup, op6_url_filter, op7_quality, op8_simhash, op9_packing,
                                      op10_chat_format)}
 
 
