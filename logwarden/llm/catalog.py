@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import chat_format, decontaminate, packing, quality, sentence_dedup, simhash, substring_dedup, url_filter
+from logwarden.llm import (chat_format, decontaminate, html_extract, language_id, packing, quality, sentence_dedup, simhash,
+                           substring_dedup, url_filter)
 from logwarden.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +27,28 @@ def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf, "documents"))
 
 
+def language_network(docs: DataFrame) -> language_id.Network | None:
+    """Fitted on the documents outside the held-out quarter."""
+    return language_id.fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+
+
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return language_id.predict(docs, language_network(docs)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     rows = decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_sentence_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_dedup.spans(table(spark, sf, "documents"))
 
@@ -77,8 +94,9 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_decontaminate, op5_sentence_dedup, op6_url_filter, op7_quality, op8_simhash, op9_packing,
-                                     op10_chat_format)}
+    return {f.__name__: f for f in (
+        op1_suffix_dedup, op2_language_id, op3_decontaminate, op4_html_extract, op5_sentence_dedup, op6_url_filter,
+        op7_quality, op8_simhash, op9_packing, op10_chat_format)}
 
 
 SQL = {}
