@@ -61,8 +61,7 @@ def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    trusted = docs.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    return quality.judge(docs, quality.fit(docs, trusted))
+    return quality.judge(docs, quality.fit(docs, labels.filter("quality = 1")))
 
 
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
