@@ -120,15 +120,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows:
         "doc_id", F.size("words").cast("long").alias("n_words"), "found")
     rows = found.select("doc_id", "n_words", once(covered(F.col("found"))).alias("n_hit"), F.array_distinct(
         F.transform("found", lambda o: o["gram"])).alias("grams"))
-    clean = rows.filter(F.size("grams") == 0).select(
-        "doc_id", "n_words", "n_hit", F.array().cast("array<string>").alias("item_ids"))
     items = windows.groupBy("gram").agg(F.collect_set("item_id").alias("items"))  # item ids of one window
-    hit = rows.filter(F.size("grams") > 0).withColumn("_row", F.monotonically_increasing_id())
-    hit = hit.select("_row", "doc_id", "n_words", "n_hit", F.explode("grams").alias("gram")).join(items, "gram") \
-        .select("_row", "doc_id", "n_words", "n_hit", F.explode("items").alias("item")) \
+    hits = rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "n_words", "n_hit",
+                       F.explode_outer("grams").alias("gram")).join(items, "gram", "left")
+    return hits.select("_row", "doc_id", "n_words", "n_hit", F.explode_outer("items").alias("item")) \
         .groupBy("_row", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item")).alias("item_ids")) \
-        .drop("_row")
-    return clean.unionByName(hit).withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
+        .drop("_row").withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, width: int, max_windows: int) -> DataFrame:
