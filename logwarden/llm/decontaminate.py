@@ -121,8 +121,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows:
     rows = found.select("doc_id", "n_words", once(covered(F.col("found"))).alias("n_hit"), F.array_distinct(
         F.transform("found", lambda o: o["gram"])).alias("grams"))
     items = windows.groupBy("gram").agg(F.collect_set("item_id").alias("items"))  # item ids of one window
-    hits = rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "n_words", "n_hit",
-                       F.explode_outer("grams").alias("gram")).join(items, "gram", "left")
+    hits = rows.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", "doc_id", "n_words", "n_hit", F.explode_outer("grams").alias("gram")).join(items, "gram", "left")
     return hits.select("_row", "doc_id", "n_words", "n_hit", F.explode_outer("items").alias("item")) \
         .groupBy("_row", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item")).alias("item_ids")) \
         .drop("_row").withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
