@@ -19,7 +19,6 @@ from logwarden.session import once_per_session
 
 BASE_CONFIDENCE = 0.7
 THREAT_SCORE = 5
-SUMMARY_IOCS = 20
 
 
 def severity_label(score: Column) -> Column:
@@ -101,10 +100,11 @@ def classify_events(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
         (n > 0).alias("is_classified"))
 
 
-def enrich_events(events: DataFrame) -> DataFrame:
-    """Write the indicator summary and the classification into ``normalized_data``."""
+def enrich_events(events: DataFrame, summary_iocs: int | None = None) -> DataFrame:
+    """Write the indicators (all, or the first ``summary_iocs``) and the classification into ``normalized_data``."""
+    listed = F.col("iocs") if summary_iocs is None else F.slice("iocs", 1, summary_iocs)
     summary = F.when(F.size("iocs") > 0, F.to_json(F.transform(
-        F.slice("iocs", 1, SUMMARY_IOCS),
+        listed,
         lambda i: F.struct(i["ioc_type"].alias("type"), i["value"].alias("value"),
                            i["confidence"].alias("confidence")))))
     audit = F.to_json(F.struct(

@@ -104,9 +104,9 @@ def _best(scores: DataFrame) -> DataFrame:
         *[f"score_{t}" for t in SIGNATURES])
 
 
-def detect_log_type(lines: DataFrame) -> DataFrame:
-    """Detected type, confidence and all scores, one row per log with any text."""
-    return _best(score_formats(sample_lines(lines)))
+def detect_log_type(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
+    """Detected type, confidence and all scores from the first ``n`` lines, one row per log with any text."""
+    return _best(score_formats(sample_lines(lines, n)))
 
 
 def detect_with_override(logs: DataFrame, detected: DataFrame) -> DataFrame:

@@ -23,8 +23,6 @@ from logwarden.functions.text import explode_match, is_blank, unmark, unpack
 from logwarden.schemas import EVENT_SCHEMA
 from logwarden.session import once_per_session
 
-MAX_LINE_LENGTH = 32_768  # fixed value: longer lines are cut
-
 
 @dataclass(frozen=True)
 class LogFormat:
@@ -97,7 +95,7 @@ def parse_lines(lines: DataFrame, formats: Iterable[LogFormat]) -> DataFrame:
             .select(F.col("log_id").cast("long").alias("log_id"),
                     F.col("line_number").cast("int").alias("line_number"),
                     log_type.alias("log_type"),
-                    unmark(F.substring(F.col("raw_line"), 1, MAX_LINE_LENGTH)).alias("_line"))
+                    unmark(F.col("raw_line")).alias("_line"))
             .select("*", header)
             .withColumn("_h", unpack(F.col("_packed"))).drop("_packed")
             .withColumn("_data", data).withColumn("_d", detail).select("*", verdict)

@@ -70,7 +70,6 @@ BORING_PORTS = (80, 443, 22, 21, 25, 53, 8080, 8443, 3389, 445, 139, 135, 137, 1
 # Entries of normalized_data that are numbers or flags, so not scanned as text.
 NOT_TEXT = ("event_id", "bytes", "response_bytes", "is_error", "oom_kill", "kernel_panic", "suspicious_path")
 RAW_LINE_FACTOR = 0.8
-MAX_IOCS_PER_EVENT = 50
 MIN_UNIX_PATH = 6
 
 HIT = ("array<struct<ioc_type:string,value:string,confidence:double,found:string,"
@@ -153,8 +152,7 @@ def _ordered_hits(text: Column, lower: Column, include_private: bool) -> Column:
         _hits(ipv6_values(text), "ipv6", 1.0, N.canonical_ipv6),
         _hits(_matches(text, CVE, lower.contains("cve-")), "cve", 1.0, F.upper),
         _hits(_matches(text, EMAIL, text.contains("@")), "email", 0.95, F.lower),
-        _hits(_matches(text, URL, text.contains("://") | lower.contains("%3a%2f%2f")), "url", 0.95,
-              lambda m: F.substring(m, 1, 2048)),
+        _hits(_matches(text, URL, text.contains("://") | lower.contains("%3a%2f%2f")), "url", 0.95),
         _hits(domain_values(text), "domain", 0.8, lambda m: F.lower(_without_brackets(m))),
         _hits(_matches(text, WINDOWS_PATH, text.contains(":") | text.contains("\\\\")), "file_path", 0.9),
         _hits(F.filter(_matches(text, UNIX_PATH, slash), lambda m: F.length(m) >= MIN_UNIX_PATH),
@@ -260,7 +258,7 @@ def _texts() -> Column:
 
 
 @once_per_session
-def event_iocs(include_private: bool = False, max_iocs: int | None = MAX_IOCS_PER_EVENT) -> tuple[Column, Column]:
+def event_iocs(include_private: bool = False, max_iocs: int | None = None) -> tuple[Column, Column]:
     """(texts, iocs) expressions; ``iocs`` reads the column ``_texts``.
 
     Insertion order and confidence follow the scan order of the fields. Only one
@@ -302,8 +300,8 @@ def event_iocs(include_private: bool = False, max_iocs: int | None = MAX_IOCS_PE
 
 
 def add_event_iocs(events: DataFrame, include_private: bool = False,
-                   max_iocs: int | None = MAX_IOCS_PER_EVENT) -> DataFrame:
-    """Events with an ``iocs`` array in first-seen order, at most ``max_iocs`` each."""
+                   max_iocs: int | None = None) -> DataFrame:
+    """Events with an ``iocs`` array in first-seen order; ``max_iocs`` keeps that many each."""
     texts, iocs = event_iocs(include_private, max_iocs)
     return events.withColumn("_texts", texts).withColumn("iocs", iocs).drop("_texts")
 

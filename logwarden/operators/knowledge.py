@@ -49,19 +49,21 @@ def validate_docs(docs: DataFrame, min_chars: int = MIN_CHARS, max_chars: int =
 def mark_duplicates(docs: DataFrame, stored_hashes: DataFrame | None, *order: str | Column) -> DataFrame:
     """Documents with ``is_duplicate``: stored before, or a later copy in this batch.
 
-    ``order`` must be unique within a hash. The first copy of each hash comes
-    from a map-side minimum and is joined back; a text copied into a third of
+    ``order`` must be unique within a hash. A document without a hash is no
+    duplicate. The first copy of each hash comes from a map-side minimum, learns
+    whether the hash is stored, and is joined back; a text copied into a third of
     the documents is then split over tasks by the skew join, where ranking its
     copies would sort them all in one.
     """
     keyed = docs.withColumn("_key", F.struct(*order))
-    first = keyed.groupBy("doc_hash").agg(F.min("_key").alias("_first"))
-    marked = keyed.join(first, "doc_hash").withColumn("_later", F.col("_key") > F.col("_first"))
-    if stored_hashes is None:
-        return marked.select(*docs.columns, F.col("_later").alias("is_duplicate"))
-    known = stored_hashes.select("doc_hash").distinct().withColumn("_stored", F.lit(True))
-    return marked.join(known, "doc_hash", "left").select(
-        *docs.columns, (F.col("_later") | F.col("_stored").isNotNull()).alias("is_duplicate"))
+    first = keyed.filter("doc_hash IS NOT NULL").groupBy("doc_hash").agg(
+        F.min("_key").alias("_first"), F.lit(False).alias("_stored"))
+    if stored_hashes is not None:
+        known = stored_hashes.select("doc_hash").distinct().withColumn("_known", F.lit(True))
+        first = first.drop("_stored").join(known, "doc_hash", "left").withColumn("_stored", F.col("_known").isNotNull())
+    marked = keyed.join(first, "doc_hash", "left")
+    later = F.coalesce((F.col("_key") > F.col("_first")) | F.col("_stored"), F.lit(False))
+    return marked.select(*docs.columns, later.alias("is_duplicate"))
 
 
 def drop_duplicate_docs(docs: DataFrame, stored_hashes: DataFrame | None, *order: str) -> DataFrame:
@@ -70,12 +72,14 @@ def drop_duplicate_docs(docs: DataFrame, stored_hashes: DataFrame | None, *order
     Every task first keeps one copy per hash (group limit below the shuffle), so
     a text copied into a third of the documents is not gathered in one place.
     The stored hashes are looked up after that, with the copies already gone.
+    Documents without a hash all stay.
     """
     first = Window.partitionBy("doc_hash").orderBy(*order)
-    unique = docs.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") == 1).drop("_copy")
-    if stored_hashes is None:
-        return unique
-    return unique.join(stored_hashes.select("doc_hash"), "doc_hash", "left_anti")
+    hashed = docs.filter("doc_hash IS NOT NULL")
+    unique = hashed.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") == 1).drop("_copy")
+    if stored_hashes is not None:
+        unique = unique.join(stored_hashes.select("doc_hash"), "doc_hash", "left_anti").select(*docs.columns)
+    return unique.unionByName(docs.filter("doc_hash IS NULL"))
 
 
 # -- Chunking -----------------------------------------------------------------

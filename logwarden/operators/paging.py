@@ -61,10 +61,11 @@ def page_iocs(iocs: DataFrame, page_no: int = 1, page_size: int = 50, log_id: in
 
 
 def search_iocs(iocs: DataFrame, text: str, ioc_type: str | None = None) -> DataFrame:
-    """Values containing the text, ignoring case; ``%`` and ``_`` act as wildcards."""
+    """Values containing the text, ignoring case; ``%`` and ``_`` act as wildcards, a backslash is one."""
     if len(text.strip()) < 2:
         raise ValueError("search text needs at least 2 characters")
-    return where(iocs.filter(F.col("value").ilike(f"%{text.strip()}%")), ioc_type=ioc_type)
+    pattern = text.strip().replace("\\", "\\\\")
+    return where(iocs.filter(F.col("value").ilike(f"%{pattern}%")), ioc_type=ioc_type)
 
 
 def page_incidents(incidents: DataFrame, page_no: int = 1, page_size: int = 20, status: str | None = None,

@@ -30,7 +30,6 @@ SUSPICIOUS_PATH = (r"(?i)(\\temp\\|\\appdata\\|\\public\\|\\programdata\\|\\wind
 CREDENTIAL_TOOL = r"(?i)(sekurlsa|kerberos::ptt|lsadump|privilege::debug|token::elevate)"
 C2_PORTS = (4444, 5555, 8080, 8443, 1337, 31337, 6666, 6667)
 PERSISTENCE_KEYS = (r"\software\microsoft\windows\currentversion\run", r"\system\currentcontrolset\services")
-MAX_STORED_XML = 500
 
 _ID, = range(1)
 
@@ -100,7 +99,6 @@ def _fields_for(system_time: str):
         thread_events = is_id(8, 10)
         raw_time = first_group(line, system_time)
         return {
-            "raw_line": F.substring(line, 1, MAX_STORED_XML),
             "hostname": F.coalesce(
                 F.when(is_id(3), F.nullif(get("destinationhostname"), F.lit(""))),
                 strip(first_group(line, X.COMPUTER))),

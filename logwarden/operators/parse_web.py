@@ -256,7 +256,7 @@ def _nginx_fields(line: Column, h: Column, data: Column, d: Column, v: Column) -
         *_access_extras(v, decoded, agent, size),
     )).otherwise(F.create_map(
         F.lit("level"), level,
-        F.lit("message"), F.substring(message, 1, 500),
+        F.lit("message"), message,
         F.lit("upstream"), upstream))
     return columns
 

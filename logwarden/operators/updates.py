@@ -7,42 +7,51 @@ from pyspark.sql import functions as F
 
 from logwarden.schemas import INCIDENT_STATUSES, LOG_STATUSES
 
-MAX_VALUE, MAX_CONTEXT, MAX_ERROR = 2048, 500, 2000
+MAX_CONTEXT, MAX_ERROR = 500, 2000  # stored widths of texts that are no part of a key
+
+
+_STATE = ("struct<status:string,started:timestamp,ended:timestamp,type:string,events:long,iocs:long,lines:long,"
+          "error:string>")
+
+
+def _next_state(state: Column, change: Column) -> Column:
+    """A log's state after one change: a completed log takes none, and one in processing cannot start again."""
+    ended = change["status"].isin("completed", "failed")
+
+    def kept(when: Column, new: str, old: str) -> Column:
+        return F.when(when, change[new]).otherwise(state[old]).alias(old)
+
+    completed = change["status"] == "completed"
+    new = F.struct(
+        change["status"].alias("status"), kept(change["status"] == "processing", "changed_at", "started"),
+        kept(ended, "changed_at", "ended"), kept(completed, "log_type", "type"),
+        kept(completed, "parsed_event_count", "events"), kept(completed, "ioc_count", "iocs"),
+        kept(completed, "line_count", "lines"), kept(change["status"] == "failed", "error", "error")).cast(_STATE)
+    refused = (state["status"] == "completed") | ((state["status"] == "processing") & (change["status"] == "processing"))
+    return F.when(F.coalesce(refused, F.lit(False)), state).otherwise(new)
 
 
 def apply_log_status(logs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply status changes to ``logs(log_id, status, ...)``.
+    """Apply status changes to ``logs(log_id, status, ...)``, each log's in the order of time.
 
     ``changes(log_id, status, changed_at, log_type, parsed_event_count,
-    ioc_count, line_count, error)``. A completed log takes no change and a log
-    in processing cannot start again. Counters come from the latest completion,
-    the error from the latest failure. Changes are reduced per log with map-side
-    aggregates before they meet the table.
+    ioc_count, line_count, error)``. A log's changes are a handful of small
+    rows, so they are sorted and folded within one row.
     """
-    current = logs.select("log_id", F.col("status").alias("_now"))
-    allowed = (changes.filter(F.col("status").isin(*LOG_STATUSES)).join(current, "log_id")
-               .filter((F.col("_now") != "completed")
-                       & ~((F.col("_now") == "processing") & (F.col("status") == "processing"))))
-
-    def latest(column: str, *statuses: str) -> Column:
-        ts = F.when(F.col("status").isin(*statuses), F.col("changed_at"))
-        return F.max_by(F.col(column), ts)
-
-    news = allowed.groupBy("log_id").agg(
-        F.max_by("status", "changed_at").alias("_status"),
-        latest("changed_at", "processing").alias("_started"),
-        latest("changed_at", "completed", "failed").alias("_ended"),
-        latest("log_type", "completed").alias("_type"),
-        latest("parsed_event_count", "completed").alias("_events"),
-        latest("ioc_count", "completed").alias("_iocs"),
-        latest("line_count", "completed").alias("_lines"),
-        F.substring(latest("error", "failed"), 1, MAX_ERROR).alias("_error"))
-    target = {"status": "_status", "processing_started_at": "_started", "processing_completed_at": "_ended",
-              "log_type": "_type", "parsed_event_count": "_events", "ioc_count": "_iocs",
-              "line_count": "_lines", "parse_error": "_error"}
-    merged = logs.join(news, "log_id", "left")
+    columns = ("changed_at", "status", "log_type", "parsed_event_count", "ioc_count", "line_count", "error")
+    news = changes.filter(F.col("status").isin(*LOG_STATUSES)).groupBy("log_id").agg(
+        F.array_sort(F.collect_list(F.struct(*columns))).alias("_changes"))
+    none = F.lit(None)
+    before = F.struct(F.col("status").alias("status"), *[none.alias(n) for n in (
+        "started", "ended", "type", "events", "iocs", "lines", "error")]).cast(_STATE)
+    merged = logs.join(news, "log_id", "left").withColumn("_after", F.aggregate(
+        F.coalesce("_changes", F.array().cast(news.schema["_changes"].dataType)), before, _next_state))
+    target = {"status": F.col("_after.status"), "processing_started_at": F.col("_after.started"),
+              "processing_completed_at": F.col("_after.ended"), "log_type": F.col("_after.type"),
+              "parsed_event_count": F.col("_after.events"), "ioc_count": F.col("_after.iocs"),
+              "line_count": F.col("_after.lines"), "parse_error": F.substring("_after.error", 1, MAX_ERROR)}
     return merged.select(*[
-        F.coalesce(F.col(target[c]), F.col(c)).alias(c) if c in target else F.col(c) for c in logs.columns])
+        F.coalesce(target[c], F.col(c)).alias(c) if c in target else F.col(c) for c in logs.columns])
 
 
 def apply_incident_updates(incidents: DataFrame, updates: DataFrame) -> DataFrame:
@@ -73,7 +82,7 @@ def ioc_rows(log_iocs: DataFrame, seen_at: Column, true_counts: bool = False) ->
     count = F.col("event_count") if true_counts else F.lit(1)
     return log_iocs.select(
         "log_id", F.col("line_number").alias("event_line"), "ioc_type",
-        F.substring("value", 1, MAX_VALUE).alias("value"), "confidence",
+        "value", "confidence",
         F.substring("context", 1, MAX_CONTEXT).alias("context"), "source_field",
         count.cast("long").alias("occurrence_count"),
         seen_at.alias("first_seen"), seen_at.alias("last_seen"))

@@ -160,15 +160,38 @@ def q_log_file_stats(spark, sf):
     return Logs.log_file_stats(files).withColumn("rejected", F.coalesce("rejected", F.lit("")))
 
 
-def q_read_big_log_lines(spark, sf):
-    """Write the syslog lines as text files, read them back in splits, count per event type."""
+def landed(spark: SparkSession, sf: str, unit: str) -> str:
+    """The documents' texts as files of the lines of one source each, or of one language each."""
     path = scratch_path(spark, "landing")
-    E.lines_of(events_of(spark, sf), E.SYSLOG).select("raw_line").write.text(path)
-    lines = Logs.read_big_log_lines(spark, path)
-    per_file = lines.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"), F.max("line_number").alias("last"),
-                                           F.count_distinct("line_number").alias("distinct_numbers"))
-    return per_file.agg(F.sum("n").cast("long").alias("lines"), F.sum("last").cast("long").alias("sum_last"),
-                        F.sum("distinct_numbers").cast("long").alias("numbers"))
+    table(spark, sf, "documents").filter("text <> ''").select(unit, F.regexp_replace("text", "\n", "\x0b").alias("value")) \
+        .repartition(unit).write.partitionBy(unit).text(path)
+    return path
+
+
+def q_read_big_log_lines(spark, sf):
+    """Every line text of files read in splits, with how often it occurs; a vertical tab breaks lines too."""
+    lines = Logs.read_big_log_lines(spark, landed(spark, sf, "source"))
+    return lines.groupBy(F.md5("raw_line").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_line_numbers(spark, sf):
+    """Both readers number lines alike: lines and numbers per file, and how many of them differ."""
+    path = landed(spark, sf, "lang")
+    big = Logs.read_big_log_lines(spark, path).select("log_id", "line_number", F.col("raw_line").alias("big"))
+    small = Logs.log_lines(Logs.read_log_files(spark, path)).withColumnRenamed("raw_line", "small")
+    both = big.join(small, ["log_id", "line_number"], "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("big").eqNullSafe(F.col("small"))).alias("different"))
+
+
+def q_rejected_files(spark, sf):
+    """Files over a limit: listed with their reason, and still read line by line."""
+    path, limit = landed(spark, sf, "source"), 1 << 13
+    rejected = Logs.rejected_files(spark, path, max_bytes=limit).agg(F.count(F.lit(1)))
+    whole = Logs.read_log_files(spark, path, max_bytes=limit).agg(F.count(F.lit(1)))
+    lines = Logs.read_log_lines(spark, path, max_bytes=limit).agg(
+        F.count_distinct("log_id").alias("files_with_lines"), F.count(F.lit(1)).alias("lines"))
+    return lines.select((rejected.scalar() + whole.scalar()).alias("files"), (rejected.scalar() > 0).alias("some_rejected"),
+                        "files_with_lines", "lines")
 
 
 def q_write_events(spark, sf):
@@ -360,9 +383,9 @@ def q_ioc_url(spark, sf):
 
 
 def q_ioc_domain(spark, sf):
-    pages = table(spark, sf, "pages")
-    host = F.regexp_extract("url", "^https?://([^/?#:]+)", 1)
-    return _values(pages, "page_id", F.transform(I.domain_values(host), F.lower))
+    """Domains of url and page text, through the whole text scan."""
+    pages = table(spark, sf, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
+    return _typed(pages, "text", "page_id", "domain").select("page_id", "value")
 
 
 def q_ioc_ipv6(spark, sf):
@@ -581,6 +604,36 @@ def q_search_iocs(spark, sf):
     return P.search_iocs(syslog_ioc_table(spark, sf), "USER1", "username").select("log_id", "ioc_type", "value")
 
 
+def q_search_paths(spark, sf):
+    """Windows paths, found by a text with backslashes."""
+    paths = I.text_iocs(threat_notes(spark, sf), "note", "event_id")
+    return P.search_iocs(paths, r"c:\users\USER1", "file_path").select("event_id", "value")
+
+
+def q_long_xml_iocs(spark, sf):
+    """Indicators behind thousands of characters of a Sysmon event."""
+    text = F.concat(F.lit("<Event><System><Provider Name='Microsoft-Windows-Sysmon'/><EventID>5</EventID></System><EventData>"
+                          "<Data Name='Description'>"), F.repeat(F.lit("x "), 20_000), F.lit("CVE-2024-"),
+                    (F.col("event_id") % 90_000 + 10_000).cast("string"), F.lit("</Data></EventData></Event>"))
+    lines = events_of(spark, sf).select(F.col("user_id").alias("log_id"), (F.col("event_id") + 1).cast("int").alias(
+        "line_number"), text.alias("raw_line"))
+    found = I.explode_iocs(I.add_event_iocs(parse.parse_sysmon(lines)))
+    return found.filter(F.col("ioc_type") == "cve").select("log_id", "line_number", "value")
+
+
+def q_ioc_cap(spark, sf):
+    """Sixty indicators in a line: all of them, and the first fifty if a cap is asked for."""
+    many = F.array_join(F.transform(F.sequence(F.lit(10_000), F.lit(10_059)), lambda i: F.concat(
+        F.lit("CVE-2024-"), i.cast("string"))), " ")
+    lines = E.lines_of(events_of(spark, sf), E.SYSLOG).withColumn("raw_line", F.concat("raw_line", F.lit(" "), many))
+    events = parse.parse_syslog(lines, YEAR)
+    def count(n):
+        found = I.explode_iocs(I.add_event_iocs(events, max_iocs=n))
+        return found.groupBy("log_id").agg(F.count(F.when(F.col("ioc_type") == "cve", 1)).alias(f"cves_{n or 'all'}"),
+                                           F.count(F.lit(1)).alias(f"iocs_{n or 'all'}"))
+    return count(None).select("log_id", "cves_all").join(count(50).select("log_id", "iocs_50"), "log_id")
+
+
 def q_page_incidents(spark, sf):
     with_time = incidents_of(spark, sf).withColumn("created_at", F.timestamp_seconds(F.col("log_id")))
     return P.page_incidents(with_time, 2, 20, severity="high").select("log_id", "title", "severity")
@@ -629,8 +682,19 @@ def q_doc_hash_dedup(spark, sf):
     return K.drop_duplicate_docs(documents_as_docs(spark, sf), stored, "doc_id").select("doc_id", "doc_hash")
 
 
+def some_without_hash(spark, sf):
+    return documents_as_docs(spark, sf).withColumn("doc_hash", F.when(F.col("doc_id") % 3 > 0, F.col("doc_hash")))
+
+
 def q_mark_duplicates(spark, sf):
-    return K.mark_duplicates(documents_as_docs(spark, sf), None, "doc_id").select("doc_id", "is_duplicate")
+    stored = table(spark, sf, "documents").filter("lang = 'es'").select(Docs.doc_hash(F.col("text")).alias("doc_hash"))
+    return K.mark_duplicates(documents_as_docs(spark, sf), None, "doc_id").select("doc_id", "is_duplicate").join(
+        K.mark_duplicates(some_without_hash(spark, sf), stored, "doc_id").select(
+            "doc_id", F.col("is_duplicate").alias("is_known")), "doc_id")
+
+
+def q_drop_duplicates_without_hash(spark, sf):
+    return K.drop_duplicate_docs(some_without_hash(spark, sf), None, "doc_id").select("doc_id", "doc_hash")
 
 
 def q_chunk_docs(spark, sf):
@@ -666,9 +730,8 @@ def q_hashing_embed(spark, sf):
 
 def q_l2_normalise(spark, sf):
     scaled = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
-    return scaled.select("vec_id", let(l2_normalise(F.col("v")), lambda u: F.struct(
-        F.round(F.get(u, F.lit(0)), 5).alias("first"), F.round(F.get(u, F.lit(63)), 5).alias("last"))).alias("u")).select(
-        "vec_id", "u.first", "u.last")
+    return scaled.select("vec_id", F.posexplode(l2_normalise(F.col("v"))).alias("place", "x")).select(
+        "vec_id", F.col("place").cast("long").alias("place"), F.round("x", 5).alias("x"))
 
 
 def q_ingest_files(spark, sf):

@@ -258,7 +258,12 @@ def oracle_sql() -> dict[str, str]:
         "log_file_stats": f"""SELECT doc_id AS log_id, (length(text) - length(replace(text, chr(10), '')) +
             CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS line_count, strlen(text)::BIGINT AS file_size_bytes,
             CASE WHEN NOT regexp_matches(text, '{NOT_WS}') THEN 'empty' WHEN strlen(text) > 104857600 THEN 'too_large' ELSE '' END AS rejected FROM documents""",
-        "read_big_log_lines": "SELECT count(*)::BIGINT AS lines, count(*)::BIGINT AS sum_last, count(*)::BIGINT AS numbers FROM events",
+        "read_big_log_lines": f"""SELECT md5(t) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents WHERE text <> '')
+            WHERE regexp_matches(t, '{NOT_WS}') GROUP BY 1""",
+        "line_numbers": f"""SELECT count(*) AS lines, 0::BIGINT AS different FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents WHERE text <> '')
+            WHERE regexp_matches(t, '{NOT_WS}')""",
+        "rejected_files": f"""SELECT (SELECT count(DISTINCT source) FROM documents) AS files, true AS some_rejected, (SELECT count(DISTINCT source) FROM documents) AS files_with_lines,
+            count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents WHERE text <> '') WHERE regexp_matches(t, '{NOT_WS}')""",
         "write_events": f"""WITH {SYSLOG}, t AS (SELECT *, {line(E.SYSLOG).replace('event_type', 'et')} AS raw FROM s)
             SELECT strftime(ts, '%Y-%m-%d') AS event_date, event_type, count(*) AS n, max(length(raw))::BIGINT AS longest FROM t GROUP BY 1, 2""",
         "upsert_iocs": f"""WITH {SYSLOG_IOCS}, {WINDOWS_IOCS}, both_ AS (
@@ -323,8 +328,11 @@ def oracle_sql() -> dict[str, str]:
         "ioc_hash": " UNION ALL ".join(_hash_sql(k, n) for k, n in (("md5", 32), ("sha1", 40), ("sha256", 64))),
         "ioc_url": rf"""SELECT DISTINCT page_id, 'url' AS ioc_type, substr(m, 1, 2048) AS value FROM (SELECT page_id, unnest(regexp_extract_all({refanged("(url || ' ' || html)")},
             '(?i)(?:https?|hxxps?|h__ps?|ftps?|sftp)(?:://|%3A%2F%2F)[^\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}"''<>\[\]{{}}|\\^`]{{3,}}')) AS m FROM pages)""",
-        "ioc_domain": r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS value FROM pages)
-            SELECT page_id, value FROM h WHERE regexp_matches(value, '^(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,6}$')
+        # a host behind slashes is no domain of the text, but what follows its first dot or hyphen is
+        "ioc_domain": r"""WITH h AS (SELECT page_id, html, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages),
+            d AS (SELECT page_id, host AS value FROM h WHERE contains(lower(html), '&copy; ' || host)
+              UNION SELECT page_id, regexp_extract(host, '^[a-z0-9]+[.-](.*)$', 1) FROM h)
+            SELECT page_id, value FROM d WHERE regexp_matches(value, '^(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,6}$')
             AND value NOT IN ('example.com', 'example.org', 'example.net', 'test.com', 'test.local', 'localhost.localdomain')""",
         "ioc_ipv6": "SELECT event_id, '2001:db8::' || format('{:x}', event_id % 60000 + 1) AS value FROM events",
         "text_iocs": f"""WITH {EVENTS}, k AS (SELECT event_id, [{', '.join(quoted(t) for t in TEXT_IOC_TYPES)}] AS t, [{', '.join(TEXT_IOC_VALUES)}] AS v,
@@ -397,13 +405,23 @@ def oracle_sql() -> dict[str, str]:
         "page_threats": f"{C5} SELECT log_id, line_number, severity_score FROM c WHERE severity_score >= 5 ORDER BY severity_score DESC, line_number, log_id LIMIT 50 OFFSET 50",
         "page_iocs": f"WITH {SYSLOG_IOCS} SELECT log_id, ioc_type, value FROM sf WHERE ioc_type = 'ipv4' ORDER BY log_id, ioc_type, value LIMIT 30 OFFSET 90",
         "search_iocs": f"WITH {SYSLOG_IOCS} SELECT log_id, ioc_type, value FROM sf WHERE ioc_type = 'username' AND value ILIKE '%USER1%'",
+        "search_paths": rf"""SELECT event_id, 'C:\Users\' || {E.USER} || '\payload.exe' AS value FROM events WHERE lower({E.USER}) LIKE 'user1%'""",
+        "long_xml_iocs": "SELECT user_id AS log_id, CAST(event_id + 1 AS INTEGER) AS line_number, 'CVE-2024-' || (event_id % 90000 + 10000) AS value FROM events",
+        "ioc_cap": "SELECT user_id AS log_id, count(*) * 60 AS cves_all, count(*) * 50 AS iocs_50 FROM events GROUP BY 1",
         "page_incidents": f"WITH {INCIDENTS} SELECT log_id, title, severity FROM inc WHERE severity = 'high' ORDER BY log_id DESC, event_type, title LIMIT 20 OFFSET 20",
-        "apply_log_status": f"""WITH {LOGS}, ch AS (SELECT user_id AS log_id, CASE event_type WHEN 'signup' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS st,
-              ts, event_id FROM events), al AS (SELECT ch.* FROM ch JOIN logs USING (log_id) WHERE st IS NOT NULL AND logs.status <> 'completed' AND NOT (logs.status = 'processing' AND st = 'processing')),
-            nw AS (SELECT log_id, arg_max(st, ts) AS st, max(ts) FILTER (st = 'processing') AS started, max(ts) FILTER (st <> 'processing') AS ended,
-              arg_max(event_id, ts) FILTER (st = 'completed') AS n, arg_max('error ' || event_id, ts) FILTER (st = 'failed') AS err FROM al GROUP BY 1)
-            SELECT log_id, coalesce(st, status) AS status, CASE WHEN n IS NOT NULL THEN 'linux_syslog' END AS log_type, epoch_us(started) AS processing_started_at,
-              epoch_us(ended) AS processing_completed_at, n AS parsed_event_count, err AS parse_error FROM logs LEFT JOIN nw USING (log_id)""",
+        "apply_log_status": f"""WITH RECURSIVE {LOGS}, ch AS (SELECT user_id AS log_id, CASE event_type WHEN 'signup' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS st,
+              ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 3 END, event_id) AS k
+              FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+            fold(log_id, k, st, started, ended, n, err) AS (
+              SELECT log_id, 0::BIGINT, status, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::BIGINT, NULL::VARCHAR FROM logs UNION ALL
+              SELECT f.log_id, c.k, CASE WHEN no THEN f.st ELSE c.st END, CASE WHEN NOT no AND c.st = 'processing' THEN c.ts ELSE f.started END,
+                CASE WHEN NOT no AND c.st <> 'processing' THEN c.ts ELSE f.ended END, CASE WHEN NOT no AND c.st = 'completed' THEN c.event_id ELSE f.n END,
+                CASE WHEN NOT no AND c.st = 'failed' THEN 'error ' || c.event_id ELSE f.err END
+              FROM (SELECT f.*, c.ts, c.event_id, c.st AS cst, c.k AS ck, (f.st = 'completed' OR (f.st = 'processing' AND c.st = 'processing')) AS no
+                    FROM fold f JOIN ch c ON c.log_id = f.log_id AND c.k = f.k + 1) f JOIN ch c ON c.log_id = f.log_id AND c.k = f.ck)
+            SELECT log_id, st AS status, CASE WHEN n IS NOT NULL THEN 'linux_syslog' END AS log_type, epoch_us(started) AS processing_started_at,
+              epoch_us(ended) AS processing_completed_at, n AS parsed_event_count, err AS parse_error
+            FROM fold QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY k DESC) = 1""",
         "apply_incident_updates": """WITH up AS (SELECT user_id AS incident_id, ts, CASE event_type WHEN 'signup' THEN 'investigating' WHEN 'purchase' THEN 'closed' WHEN 'error' THEN 'resolved' END AS st,
               CASE WHEN event_type = 'click' THEN event_id % 9 END AS a FROM events)
             SELECT incident_id, coalesce(arg_max(st, ts) FILTER (st IS NOT NULL), 'open') AS status, arg_max(a, ts) FILTER (a IS NOT NULL) AS assigned_to,
@@ -413,13 +431,17 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN chars < 200 THEN 'Very short document; may not chunk meaningfully — consider merging with related content' END], lambda w: w IS NOT NULL), '|') END AS warnings FROM vr""",
         "doc_hash_dedup": """SELECT min(doc_id) AS doc_id, sha256(text) AS doc_hash FROM documents WHERE sha256(text) NOT IN
             (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) GROUP BY 2""",
-        "mark_duplicates": "SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS is_duplicate FROM documents",
+        "mark_duplicates": """WITH h AS (SELECT doc_id, sha256(text) AS a, CASE WHEN doc_id % 3 > 0 THEN sha256(text) END AS b FROM documents)
+            SELECT doc_id, row_number() OVER (PARTITION BY a ORDER BY doc_id) > 1 AS is_duplicate,
+              b IS NOT NULL AND (row_number() OVER (PARTITION BY b ORDER BY doc_id) > 1 OR b IN (SELECT sha256(text) FROM documents WHERE lang = 'es')) AS is_known FROM h""",
+        "drop_duplicates_without_hash": """SELECT min(doc_id) AS doc_id, sha256(text) AS doc_hash FROM documents WHERE doc_id % 3 > 0 GROUP BY 2
+            UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 3 = 0""",
         "chunk_coverage": f"WITH {VALIDATION} SELECT doc_id, true AS within_size, true AS all_numbered, CASE WHEN wc <= 512 THEN wc ELSE -1 END::BIGINT AS single_chunk_words FROM v WHERE chars > 0",
         "chunk_payload": f"""WITH {VALIDATION} SELECT 'n' || doc_id AS node_id, sha256(text) AS doc_hash, source AS source_type, '' AS source_url, '' AS technique_id,
             wc::BIGINT AS word_count, length(text)::BIGINT AS char_count FROM v""",
         "hashing_embed": f"WITH {VALIDATION} SELECT doc_id, 256 AS dim, CASE WHEN wc > 0 THEN 1.0 ELSE 0.0 END AS norm2 FROM v",
         "l2_normalise": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
-            SELECT vec_id, round(x[1] / sqrt(list_inner_product(x, x)), 5) AS first, round(x[64] / sqrt(list_inner_product(x, x)), 5) AS last FROM v""",
+            SELECT vec_id, unnest(range(len(x))) AS place, round(unnest(x) / sqrt(list_inner_product(x, x)), 5) AS x FROM v""",
         "ingest_files": f"""WITH {VALIDATION}, p AS (SELECT *, {path} AS path FROM vr), r AS (SELECT *, CASE WHEN lang = 'es' THEN 'skipped_unsupported' WHEN chars = 0 THEN 'failed'
               WHEN reason <> '' THEN 'failed' WHEN row_number() OVER (PARTITION BY lang = 'es', sha256(content) ORDER BY path) > 1 THEN 'skipped_duplicate' ELSE 'indexed' END AS status FROM p)
             SELECT status, CASE WHEN status = 'failed' AND chars = 0 THEN 'Loader returned 0 documents' WHEN status = 'failed' THEN 'Validation: ' || reason

@@ -22,7 +22,6 @@ NOT_METADATA = (*CONTENT_KEYS, *FALLBACK_EXCLUDED, "source_url", "url", "link",
                 "cveId", "severity", "baseSeverity")
 TECHNIQUE_ID = r"(?U)(?<![\w])(T\d{4}(?:\.\d{3})?)(?![.\d])"
 CVE_ID = r"(?iU)\b(CVE-\d{4}-\d{4,7})\b"
-PREFIX_CHARS = 500
 
 
 def filename(path: Column) -> Column:
@@ -49,7 +48,7 @@ def _first_match(path: Column, content: Column, pattern: str) -> Column:
     def find(text: Column) -> Column:
         return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
-    return F.coalesce(find(stem(path)), find(F.substring(content, 1, PREFIX_CHARS)))
+    return F.coalesce(find(stem(path)), find(content))
 
 
 def infer_technique_id(path: Column, content: Column) -> Column:

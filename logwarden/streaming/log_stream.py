@@ -10,23 +10,31 @@ from logwarden.operators.incidents import build_incidents
 from logwarden.operators.iocs import log_iocs
 from logwarden.operators.updates import ioc_rows
 from logwarden.plans.log_run import process_lines
-from logwarden.sources.logs import MAX_FILE_BYTES, decode, log_lines
+from logwarden.sources.logs import MAX_FILE_BYTES, decode, log_lines, read_big_log_lines
 from logwarden.sources.tables import event_rows
 
 _BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def log_file_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """New log files as they land: log_id, filename, modified_at, content."""
-    files = (spark.readStream.format("binaryFile").schema(_BINARY_FILE)
-             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(folder)
-             .filter(F.col("length") <= MAX_FILE_BYTES))
-    return files.select(
-        F.xxhash64("path").alias("log_id"), F.substring_index("path", "/", -1).alias("filename"),
-        F.col("modificationTime").alias("modified_at"), decode(F.col("content")).alias("content"))
+    """New log files as they land, of any size: path, modificationTime, length, content."""
+    return (spark.readStream.format("binaryFile").schema(_BINARY_FILE)
+            .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(folder))
 
 
-def write_batch(files: DataFrame, batch_id: int, out: str, **options) -> None:
+def batch_lines(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Numbered lines of a batch's files: whole files up to the limit, larger ones read again in splits.
+
+    A batch has at most ``maxFilesPerTrigger`` files, so the paths of its large ones are few.
+    """
+    small = files.filter(F.col("length") <= max_bytes).select(
+        F.xxhash64("path").alias("log_id"), decode(F.col("content")).alias("content"))
+    large = [r.path for r in files.filter(F.col("length") > max_bytes).select("path").collect()]
+    lines = log_lines(small)
+    return lines.unionByName(read_big_log_lines(files.sparkSession, large)) if large else lines
+
+
+def write_batch(files: DataFrame, batch_id: int, out: str, max_bytes: int = MAX_FILE_BYTES, **options) -> None:
     """Events, indicators and incidents of one micro-batch.
 
     Every table gets one folder per batch id, overwritten when a batch is
@@ -35,7 +43,7 @@ def write_batch(files: DataFrame, batch_id: int, out: str, **options) -> None:
     """
     spark = files.sparkSession
     target = {name: f"{out}/{name}/batch_id={batch_id}" for name in ("events", "iocs", "incidents")}
-    _, events = process_lines(log_lines(files), **options)
+    _, events = process_lines(batch_lines(files, max_bytes), **options)
     event_rows(events).write.mode("overwrite").parquet(target["events"])
     stored = spark.read.schema(event_rows(events).schema).parquet(target["events"])
     rows = ioc_rows(log_iocs(stored), F.current_timestamp())

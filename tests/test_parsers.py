@@ -147,10 +147,10 @@ def test_sysmon_types(lines):
     assert got[7]["protocol"] == "TCP" and got[7]["dest_port"] == 4444
 
 
-def test_sysmon_last_duplicate_field_wins_and_xml_is_cut(lines):
+def test_sysmon_last_duplicate_field_wins_and_xml_stays_whole(lines):
     line = sysmon(1, Image="C:\\a.exe").replace("</EventData>", "<Data Name='image'> C:\\b.exe </Data></EventData>") + "x" * 600
     got = events(P.parse_sysmon(lines("sysmon", line)))[0]
-    assert got["process_name"] == "b.exe" and len(got["raw_line"]) == 500
+    assert got["process_name"] == "b.exe" and got["raw_line"] == line
     assert events(P.parse_sysmon(lines("sysmon", line.replace("'", '"'))))[0]["process_name"] is None
     assert events(P.parse_sysmon(lines("sysmon", line.replace("'", '"')), both_quotes=True))[0]["process_name"] == "b.exe"
 
