@@ -24,7 +24,7 @@ from logwarden.operators.rules import rules_df
 from logwarden.plans import event_lines as E
 from logwarden.plans.ingest import ingest_documents
 from logwarden.plans.log_run import limit_events, process_lines
-from logwarden.session import scratch_path, ship_package, spread
+from logwarden.session import scratch_path, ship_package, spread, write_and_read
 from logwarden.sources import documents as Docs
 from logwarden.sources import logs as Logs
 from logwarden.sources import tables as Tables
@@ -93,6 +93,15 @@ def classified_with_iocs(spark: SparkSession, sf: str) -> DataFrame:
     return I.add_event_iocs(C.classify_events(both))
 
 
+def stored_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Classified events with their indicators, parsed and written once; reports read the columns they need."""
+    return write_and_read(classified_with_iocs(spark, sf), "run")
+
+
+def syslog_part(run: DataFrame) -> DataFrame:
+    return run.filter(F.col("log_id") < 1_000_000_000)
+
+
 def incidents_of(spark: SparkSession, sf: str) -> DataFrame:
     return build_incidents(classified_with_iocs(spark, sf))
 
@@ -463,7 +472,7 @@ def q_critical_events(spark, sf):
 
 
 def q_pipeline_stats(spark, sf):
-    events = I.add_event_iocs(classified_syslog(spark, sf))
+    events = write_and_read(I.add_event_iocs(classified_syslog(spark, sf)), "run")
     lines = E.lines_of(events_of(spark, sf), E.SYSLOG).groupBy("log_id").agg(F.count(F.lit(1)).alias("total_lines"))
     stats = R.pipeline_stats(events, lines)
     kinds = [F.coalesce(F.try_element_at("ioc_type_counts", F.lit(t)), F.lit(0)).alias(f"iocs_{t}")
@@ -473,7 +482,7 @@ def q_pipeline_stats(spark, sf):
 
 def q_run_summary(spark, sf):
     lines = E.lines_of(events_of(spark, sf), E.SYSLOG)
-    events = I.add_event_iocs(classified_syslog(spark, sf))
+    events = write_and_read(I.add_event_iocs(classified_syslog(spark, sf)), "run")
     counts = lines.groupBy("log_id").agg(F.count(F.lit(1)).alias("total_lines"))
     summary = R.run_summary(D.detect_log_type(lines), events, R.pipeline_stats(events, counts))
 
@@ -569,7 +578,10 @@ def q_top_ioc_values(spark, sf):
 
 
 def q_statistics(spark, sf):
-    stats = R.statistics(logs_table(spark, sf), classified_syslog(spark, sf), syslog_ioc_table(spark, sf), incidents_of(spark, sf))
+    run = stored_run(spark, sf)
+    events = syslog_part(run)
+    iocs = write_and_read(U.ioc_rows(I.log_iocs(events), F.timestamp_seconds(F.lit(1_704_067_200))), "iocs")
+    stats = R.statistics(logs_table(spark, sf), events, iocs, build_incidents(run))
 
     def text(name: str, *fields: str) -> Column:
         return F.array_join(F.transform(name, lambda r: F.concat_ws("=", *[r[f] for f in fields])), "|").alias(name)
@@ -702,6 +714,16 @@ def q_chunk_docs(spark, sf):
         "doc_id", "chunk_index", "total_chunks", word_count(F.col("text")).alias("words"), "node_id")
 
 
+def q_chunk_equal_sentences(spark, sf):
+    """Texts of numbered ten-word sentences, 1 to 300 of them: where each chunk begins and how long it is."""
+    sentences = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 300 + 1).cast("int")), lambda i: F.concat(
+        F.lit("s"), i.cast("string"), F.lit(" b c d e f g h i j.")))
+    docs = documents_as_docs(spark, sf).withColumn("content", F.array_join(sentences, " "))
+    return K.chunk_docs(docs).select(
+        "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"),
+        word_count(F.col("text")).cast("long").alias("words"), F.regexp_extract("text", r"s(\d+) b", 1).cast("long").alias("first_sentence"))
+
+
 def q_chunk_coverage(spark, sf):
     """Chunks per document in the cases a formula can tell: texts within one chunk, and size bounds."""
     chunks = K.chunk_docs(documents_as_docs(spark, sf)).withColumn("words", word_count(F.col("text")))

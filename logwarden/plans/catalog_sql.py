@@ -436,6 +436,11 @@ def oracle_sql() -> dict[str, str]:
               b IS NOT NULL AND (row_number() OVER (PARTITION BY b ORDER BY doc_id) > 1 OR b IN (SELECT sha256(text) FROM documents WHERE lang = 'es')) AS is_known FROM h""",
         "drop_duplicates_without_hash": """SELECT min(doc_id) AS doc_id, sha256(text) AS doc_hash FROM documents WHERE doc_id % 3 > 0 GROUP BY 2
             UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 3 = 0""",
+        # 51 sentences of ten words fill a chunk, and the next one repeats the last six (60 of 64 words)
+        "chunk_equal_sentences": """WITH n AS (SELECT doc_id, doc_id % 300 + 1 AS s FROM documents),
+            t AS (SELECT doc_id, s, CASE WHEN s <= 51 THEN 1 ELSE 1 + CAST(ceil((s - 51) / 45.0) AS BIGINT) END AS total FROM n),
+            c AS (SELECT doc_id, s, total, unnest(range(total)) AS k FROM t)
+            SELECT doc_id, k AS chunk_index, total AS total_chunks, 10 * least(51, s - 45 * k) AS words, 45 * k + 1 AS first_sentence FROM c""",
         "chunk_coverage": f"WITH {VALIDATION} SELECT doc_id, true AS within_size, true AS all_numbered, CASE WHEN wc <= 512 THEN wc ELSE -1 END::BIGINT AS single_chunk_words FROM v WHERE chars > 0",
         "chunk_payload": f"""WITH {VALIDATION} SELECT 'n' || doc_id AS node_id, sha256(text) AS doc_hash, source AS source_type, '' AS source_url, '' AS technique_id,
             wc::BIGINT AS word_count, length(text)::BIGINT AS char_count FROM v""",

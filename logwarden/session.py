@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,6 +44,7 @@ def get_session(app_name: str = "logwarden", master: str | None = None, **conf:
 
 
 _shipped: set[str] = set()
+_local_folders: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -72,14 +74,17 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="spark-")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return _local_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/logwarden/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/logwarden/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -99,17 +99,15 @@ def brute_dense(q, v, k):
     return {(i, int(j)): s[i, j] for i in range(len(q)) for j in sorted(range(len(v)), key=lambda j: (-s[i, j], j))[:k]}
 
 
-def test_dense_search_shipped_and_blockwise(spark, monkeypatch):
+def test_dense_search_in_parts_and_tiles(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v, q = rng.normal(size=(700, 8)), rng.normal(size=(40, 8))
     chunks = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "node_id long, embedding array<double>").repartition(5)
     asked = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "query_id long, vector array<double>")
     want = brute_dense(q, v, 7)
     shipped = {(r.query_id, r.node_id): r.score for r in S.dense_search(chunks, asked, 7).collect()}
-    monkeypatch.setattr(S, "QUERIES_PER_BLOCK", 16)
-    monkeypatch.setattr(S, "NODES_PER_BLOCK", 100)
-    blocks = {(r.query_id, r.node_id): r.score for r in S.dense_search(chunks, asked, 7, max_shipped=10).collect()}
-    assert shipped == want and blocks == want
+    parts = {(r.query_id, r.node_id): r.score for r in S.dense_search(chunks, asked, 7, queries_at_once=10).collect()}
+    assert shipped == want and parts == want
     assert S.dense_search(chunks, asked.limit(0), 7).count() == 0
 
 
@@ -128,6 +126,20 @@ def test_hybrid_edges_and_index_on_disk(spark):
     assert tf[("quick", 3)] == 2 and tf[("the", 2)] == 1
 
 
+def test_bm25_in_rows_equals_the_join(spark):
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(60)])
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 30)))) for i in range(300)] + [(400, None), (401, "")]
+    index = S.build_bm25(spark.createDataFrame(rows, "node_id long, text string").repartition(4))
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words, 5))) for q in range(12)] + [(90, "unknown"), (91, None)],
+                                  "query_id long, query string")
+    pick = lambda df: {(r.query_id, r.node_id): (r.score, r["rank"]) for r in df.collect()}
+    in_rows = pick(S.bm25_search(index, asked, 8))
+    assert in_rows == pick(S.bm25_search(index, asked, 8, max_words=0)) and len(in_rows) > 50
+    plan = S.bm25_search(index, asked, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 1 and "hashpartitioning(query_id" in plan
+
+
 def test_queries_get_the_prefix(spark):
     seen = K.embed_queries(spark.createDataFrame([(1, " a "), (2, " ")], "query_id long, query string"), encoder).collect()
     assert [r.query_id for r in seen] == [1]
