@@ -21,6 +21,7 @@ from logwarden.operators import search as S
 from logwarden.operators import updates as U
 from logwarden.operators.incidents import build_incidents
 from logwarden.operators.rules import rules_df
+from logwarden.plans import branch_lines as B
 from logwarden.plans import event_lines as E
 from logwarden.plans.ingest import ingest_documents
 from logwarden.plans.log_run import limit_events, process_lines
@@ -355,6 +356,33 @@ def q_parse_dispatch(spark, sf):
     return dispatched(spark, sf).select("log_id", "line_number", "log_type", "event_type", "source_ip", "username")
 
 
+def branch_events(spark: SparkSession, sf: str, log_type: str) -> DataFrame:
+    """Every outcome of a parser, by templates over the events."""
+    return parse.parse_logs(B.branch_lines(events_of(spark, sf), log_type), YEAR).select(
+        "log_id", "line_number", "event_type", F.coalesce("process_name", F.lit("")).alias("process_name"),
+        F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("process_id", F.lit(-1)).alias("process_id"))
+
+
+def q_syslog_branches(spark, sf):
+    return branch_events(spark, sf, "linux_syslog")
+
+
+def q_apache_branches(spark, sf):
+    return branch_events(spark, sf, "apache_access").select("log_id", "line_number", "event_type")
+
+
+def q_nginx_branches(spark, sf):
+    return branch_events(spark, sf, "nginx_access").select("log_id", "line_number", "event_type")
+
+
+def q_sysmon_branches(spark, sf):
+    return branch_events(spark, sf, "sysmon").drop("process_id")
+
+
+def q_windows_branches(spark, sf):
+    return branch_events(spark, sf, "windows_event").select("log_id", "line_number", "event_type", "process_name", "process_id")
+
+
 def q_url_decode(spark, sf):
     return table(spark, sf, "pages").select(
         "page_id", url_decode_twice(F.concat(F.replace("url", F.lit("/"), F.lit("%252F")), F.lit("+%zz"))).alias("decoded"))

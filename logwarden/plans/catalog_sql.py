@@ -41,6 +41,45 @@ def words(text: str) -> str:
     return f"list_filter(regexp_split_to_array({text}, '{WS}+'), lambda x: x <> '')"
 
 
+# What each line template must give, by place; None where the line is no event. {n} is the event's number.
+BRANCH_RESULTS = {
+    "syslog_branches": (("event_type", "process_name", "file_path", "process_id"), (
+        ("Brute Force", "sshd", "", 9), ("Authentication Failure", "login", "", -1), ("System Event", "java", "", 77),
+        ("System Event", "kernel", "", -1), ("System Log", "app", "", -1), ("System Log", "cron", "", 3),
+        ("Successful Login", "sshd", "", 9), None)),
+    "apache_branches": (("event_type",), (
+        ("SQL Injection Attempt",), ("XSS Attempt",), ("Directory Traversal",), ("Command Injection Attempt",), ("Web Scanner",),
+        ("Web Scanning",), ("Large Data Transfer",), ("Unauthorized Access Attempt",), ("Forbidden Access Attempt",),
+        ("HTTP Client Error",), ("HTTP Client Error",), ("HTTP Request",))),
+    "nginx_branches": (("event_type",), (
+        ("SQL Injection Attempt",), ("XSS Attempt",), ("Directory Traversal",), ("Command Injection Attempt",), ("Web Scanner",),
+        ("Web Scanning",), ("Large Data Transfer",), ("Unauthorized Access Attempt",), ("Forbidden Access Attempt",),
+        ("HTTP Client Error",), ("HTTP Client Error",), ("HTTP Request",), ("HTTP Client Error",), ("Web Server Error",),
+        ("Web Server Warning",), ("Web Server Event",))),
+    "sysmon_branches": (("event_type", "process_name", "file_path"), (
+        ("LSASS Injection", "b{n}.exe", ""), ("Remote Thread Created", "", ""), ("Process Access", "c.exe", ""),
+        ("Credential Dumping Attempt", "x.exe", "C:\\x.exe"), ("Suspicious Child Process", "cmd.exe", "C:\\cmd.exe"),
+        ("LOLBin Execution", "cmd.exe", "C:\\Temp\\cmd.exe"), ("Process Creation", "x{n}.exe", "C:\\x{n}.exe"),
+        ("Unsigned DLL Loaded", "", "C:\\a{n}.dll"), ("DLL from Suspicious Path", "", "C:\\Temp\\a.dll"),
+        ("DLL Loaded", "p.exe", "C:\\a.dll"), ("File Created in Suspicious Location", "", "C:\\Users\\Public\\a{n}.exe"),
+        ("File Created", "", "C:\\a{n}.txt"), ("File Deleted", "", "C:\\d{n}"), ("Registry Key Created", "", "HKLM\\x{n}"),
+        ("Sysmon Event 99", "", ""))),
+    "windows_branches": (("event_type", "process_name", "process_id"), (
+        ("Windows Event", "C:\\x{n}.exe", -1), ("Windows Event", "", -1), ("Process Creation", "", 31), None,
+        ("Successful Login", "", -1), None)),
+}
+
+
+def branch_sql(columns: tuple, results: tuple) -> str:
+    def value(x: object) -> str:
+        return str(x) if isinstance(x, int) else f"replace({quoted(str(x))}, '{{n}}', CAST(event_id AS VARCHAR))"
+
+    rows = [f"SELECT event_id, user_id, {', '.join(f'{value(v)} AS {c}' for c, v in zip(columns, r))} FROM events "
+            f"WHERE event_id % {len(results)} = {i}" for i, r in enumerate(results) if r is not None]
+    return (f"SELECT user_id AS log_id, CAST(event_id + 1 AS INTEGER) AS line_number, {', '.join(columns)} "
+            f"FROM ({' UNION ALL '.join(rows)})")
+
+
 EVENTS = f"""e AS (SELECT event_id, ts, user_id, event_type AS et, {E.USER} AS u, {E.IP} AS ip, {E.HOST} AS host,
   CAST({E.PORT} AS INTEGER) AS port, CAST({E.PID} AS INTEGER) AS pid, {E.DIGIT} AS dg,
   CAST(event_id + 1 AS INTEGER) AS ln, epoch_us(date_trunc('second', ts)) AS sec, epoch_us(ts) AS us FROM events)"""
@@ -406,6 +445,7 @@ def oracle_sql() -> dict[str, str]:
         "page_iocs": f"WITH {SYSLOG_IOCS} SELECT log_id, ioc_type, value FROM sf WHERE ioc_type = 'ipv4' ORDER BY log_id, ioc_type, value LIMIT 30 OFFSET 90",
         "search_iocs": f"WITH {SYSLOG_IOCS} SELECT log_id, ioc_type, value FROM sf WHERE ioc_type = 'username' AND value ILIKE '%USER1%'",
         "search_paths": rf"""SELECT event_id, 'C:\Users\' || {E.USER} || '\payload.exe' AS value FROM events WHERE lower({E.USER}) LIKE 'user1%'""",
+        **{name: branch_sql(*expected) for name, expected in BRANCH_RESULTS.items()},
         "long_xml_iocs": "SELECT user_id AS log_id, CAST(event_id + 1 AS INTEGER) AS line_number, 'CVE-2024-' || (event_id % 90000 + 10000) AS value FROM events",
         "ioc_cap": "SELECT user_id AS log_id, count(*) * 60 AS cves_all, count(*) * 50 AS iocs_50 FROM events GROUP BY 1",
         "page_incidents": f"WITH {INCIDENTS} SELECT log_id, title, severity FROM inc WHERE severity = 'high' ORDER BY log_id DESC, event_type, title LIMIT 20 OFFSET 20",
