@@ -25,6 +25,7 @@ from logwarden.plans import branch_lines as B
 from logwarden.plans import event_lines as E
 from logwarden.plans.ingest import ingest_documents
 from logwarden.plans.log_run import limit_events, process_lines
+from logwarden.plans.stored_run import run_and_store
 from logwarden.session import scratch_path, ship_package, spread, write_and_read
 from logwarden.sources import documents as Docs
 from logwarden.sources import logs as Logs
@@ -487,6 +488,33 @@ def q_log_run(spark, sf):
     return events.groupBy("log_id", "log_type", "event_type", "severity").agg(F.count(F.lit(1)).alias("events"))
 
 
+def q_run_and_store(spark, sf):
+    """Pending logs run and stored, every tenth line unreadable; then the run again, which finds nothing to do."""
+    none, out = F.lit(None), scratch_path(spark, "store")
+    logs = write_and_read(logs_table(spark, sf).select(
+        "log_id", "status", *[none.cast(k).alias(n) for n, k in (
+            ("log_type", "string"), ("processing_started_at", "timestamp"), ("processing_completed_at", "timestamp"),
+            ("parsed_event_count", "long"), ("ioc_count", "long"), ("line_count", "long"), ("parse_error", "string"))]), "logs")
+    lines = E.lines_of(events_of(spark, sf), E.SYSLOG).withColumn(
+        "raw_line", F.when(F.col("line_number") % 10 == 0, "?? not a log line").otherwise(F.col("raw_line")))
+
+    def run(table: DataFrame, name: str, hour: int):
+        begin, end = F.timestamp_seconds(F.lit(hour * 3600)), F.timestamp_seconds(F.lit(hour * 3600 + 60))
+        return run_and_store(table, lines, out, name, begin, end, assume_year=YEAR)
+
+    first = run(logs, "a", 1)
+    done = write_and_read(first.logs, "logs")
+    again = run(done, "b", 2)
+    events = spark.read.parquet(f"{out}/events").groupBy("log_id").agg(F.count(F.lit(1)).alias("events"))
+    iocs = spark.read.parquet(f"{out}/iocs").groupBy("log_id").agg(F.count(F.lit(1)).alias("iocs"))
+    rejected = spark.read.parquet(f"{out}/rejected_lines").groupBy("log_id").agg(F.count(F.lit(1)).alias("rejected"))
+    zero = F.lit(0).cast("long")
+    return again.logs.join(events, "log_id", "left").join(iocs, "log_id", "left").join(rejected, "log_id", "left").select(
+        "log_id", "status", "log_type", micros("processing_started_at"), micros("processing_completed_at"), "parsed_event_count",
+        "line_count", (F.col("ioc_count") == F.col("iocs")).alias("iocs_agree"),
+        *[F.coalesce(c, zero).alias(c) for c in ("events", "rejected")])
+
+
 def q_limit_events(spark, sf):
     return limit_events(syslog_events(spark, sf), 20).select("log_id", "line_number", "event_type")
 

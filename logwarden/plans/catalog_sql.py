@@ -446,6 +446,12 @@ def oracle_sql() -> dict[str, str]:
         "search_iocs": f"WITH {SYSLOG_IOCS} SELECT log_id, ioc_type, value FROM sf WHERE ioc_type = 'username' AND value ILIKE '%USER1%'",
         "search_paths": rf"""SELECT event_id, 'C:\Users\' || {E.USER} || '\payload.exe' AS value FROM events WHERE lower({E.USER}) LIKE 'user1%'""",
         **{name: branch_sql(*expected) for name, expected in BRANCH_RESULTS.items()},
+        "run_and_store": f"""WITH {LOGS}, n AS (SELECT user_id AS log_id, count(*) FILTER ((event_id + 1) % 10 <> 0) AS ok, count(*) FILTER ((event_id + 1) % 10 = 0) AS bad FROM events GROUP BY 1)
+            SELECT log_id, CASE status WHEN 'pending' THEN 'completed' ELSE status END AS status, CASE WHEN status = 'pending' THEN 'linux_syslog' END AS log_type,
+              CASE WHEN status = 'pending' THEN 3600000000 END AS processing_started_at, CASE WHEN status = 'pending' THEN 3660000000 END AS processing_completed_at,
+              CASE WHEN status = 'pending' THEN ok END AS parsed_event_count, CASE WHEN status = 'pending' THEN ok + bad END AS line_count,
+              CASE WHEN status = 'pending' THEN true END AS iocs_agree, CASE WHEN status = 'pending' THEN ok ELSE 0 END AS events, CASE WHEN status = 'pending' THEN bad ELSE 0 END AS rejected
+            FROM logs JOIN n USING (log_id)""",
         "long_xml_iocs": "SELECT user_id AS log_id, CAST(event_id + 1 AS INTEGER) AS line_number, 'CVE-2024-' || (event_id % 90000 + 10000) AS value FROM events",
         "ioc_cap": "SELECT user_id AS log_id, count(*) * 60 AS cves_all, count(*) * 50 AS iocs_50 FROM events GROUP BY 1",
         "page_incidents": f"WITH {INCIDENTS} SELECT log_id, title, severity FROM inc WHERE severity = 'high' ORDER BY log_id DESC, event_type, title LIMIT 20 OFFSET 20",
