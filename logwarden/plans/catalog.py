@@ -23,7 +23,7 @@ from logwarden.operators.incidents import build_incidents
 from logwarden.operators.rules import rules_df
 from logwarden.plans import branch_lines as B
 from logwarden.plans import event_lines as E
-from logwarden.plans.ingest import ingest_documents
+from logwarden.plans.ingest import ingest_documents, ingest_into
 from logwarden.plans.log_run import limit_events, process_lines
 from logwarden.plans.stored_run import run_and_store
 from logwarden.session import scratch_path, ship_package, spread, write_and_read
@@ -817,6 +817,25 @@ def q_ingest_files(spark, sf):
     return result.files.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("files"))
 
 
+def q_ingest_twice(spark, sf):
+    """Half of the files ingested into a table, then all of them: its documents, whole and each once."""
+    files, path = documents_as_files(spark, sf), scratch_path(spark, "kb")
+    ingest_into(files.filter(F.col("doc_id") % 2 == 0).drop("doc_id"), path)
+    ingest_into(files.drop("doc_id"), path)
+    per_doc = Tables.read_table(spark, path).groupBy("doc_hash").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_distinct("node_id").alias("nodes"), F.max("total_chunks").alias("total"))
+    return per_doc.select("doc_hash", ((F.col("chunks") == F.col("nodes")) & (F.col("chunks") == F.col("total"))).alias("whole"))
+
+
+def q_upsert_iocs_stored(spark, sf):
+    """The indicators of two runs upserted into a stored table."""
+    path = scratch_path(spark, "iocs")
+    for rows in (syslog_ioc_table(spark, sf), windows_ioc_table(spark, sf)):
+        Tables.upsert(rows, path, "log_id", U.merge_iocs)
+    return Tables.read_table(spark, path).select(
+        "log_id", "ioc_type", "value", "occurrence_count", micros("first_seen"), micros("last_seen"))
+
+
 def q_ingestion_report(spark, sf):
     checked = K.mark_duplicates(K.validate_docs(documents_as_docs(spark, sf)), None, "doc_id")
     files = checked.select(

@@ -308,6 +308,9 @@ def oracle_sql() -> dict[str, str]:
         "upsert_iocs": f"""WITH {SYSLOG_IOCS}, {WINDOWS_IOCS}, both_ AS (
               SELECT log_id, ioc_type, value, 1704067200000000 AS seen FROM sf UNION ALL SELECT log_id, ioc_type, value, 1704153600000000 FROM wf)
             SELECT log_id, ioc_type, value, count(*) AS occurrence_count, min(seen) AS first_seen, max(seen) AS last_seen FROM both_ GROUP BY 1, 2, 3""",
+        "upsert_iocs_stored": f"""WITH {SYSLOG_IOCS}, {WINDOWS_IOCS}, both_ AS (
+              SELECT log_id, ioc_type, value, 1704067200000000 AS seen FROM sf UNION ALL SELECT log_id, ioc_type, value, 1704153600000000 FROM wf)
+            SELECT log_id, ioc_type, value, count(*) AS occurrence_count, min(seen) AS first_seen, max(seen) AS last_seen FROM both_ GROUP BY 1, 2, 3""",
         "upsert_chunks": """SELECT 'd' || doc_id AS node_id, CASE WHEN l.doc_id IS NULL THEN 1 ELSE 2 END AS version,
             md5(CASE WHEN l.doc_id IS NULL THEN text ELSE lower(text) END) AS text_md5 FROM documents LEFT JOIN labels l USING (doc_id)""".replace("'d' || doc_id", "'d' || documents.doc_id"),
         "delete_by_doc_hash": "SELECT doc_id, sha256(text) AS doc_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'es')",
@@ -497,6 +500,7 @@ def oracle_sql() -> dict[str, str]:
               WHEN reason <> '' THEN 'failed' WHEN row_number() OVER (PARTITION BY lang = 'es', sha256(content) ORDER BY path) > 1 THEN 'skipped_duplicate' ELSE 'indexed' END AS status FROM p)
             SELECT status, CASE WHEN status = 'failed' AND chars = 0 THEN 'Loader returned 0 documents' WHEN status = 'failed' THEN 'Validation: ' || reason
               WHEN status = 'skipped_duplicate' THEN 'Document already indexed (same SHA-256)' ELSE '' END AS reason, count(*) AS files FROM r GROUP BY 1, 2""",
+        "ingest_twice": f"""WITH {VALIDATION} SELECT DISTINCT sha256(content) AS doc_hash, true AS whole FROM vr WHERE lang <> 'es' AND chars > 0 AND reason = ''""",
         "ingestion_report": f"""WITH {VALIDATION}, f AS (SELECT wc, CASE WHEN reason <> '' THEN 'failed' WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1
               THEN 'skipped_duplicate' ELSE 'indexed' END AS st FROM vr)
             SELECT count(*) AS total_files, count(*) FILTER (st = 'indexed') AS indexed_files, count(*) FILTER (st = 'skipped_duplicate') AS skipped_duplicates,

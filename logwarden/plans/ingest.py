@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from logwarden.operators.knowledge import (
     chunk_docs, chunk_payload, embed, hashing_embed, mark_duplicates, validate_docs,
 )
+from logwarden.operators.updates import merge_chunks
 from logwarden.session import write_and_read
 from logwarden.sources.documents import (
     JSON_EXTENSIONS, TEXT_EXTENSIONS, extension, json_docs, json_objects, text_docs,
 )
+from logwarden.sources.tables import read_table, upsert
 
 
 @dataclass(frozen=True)
@@ -61,3 +63,13 @@ def ingest_documents(files: DataFrame, stored: DataFrame | None = None,
         F.when(supported, "Loader returned 0 documents").alias("reason"),
         F.lit(0).cast("long").alias("chunks_indexed"))
     return Ingestion(chunks, per_doc.unionByName(without))
+
+
+def ingest_into(files: DataFrame, path: str, encoder: Callable | None = None) -> DataFrame:
+    """Ingest files into the chunk table at ``path``: known documents are skipped, new chunks upserted by ``node_id``.
+
+    Returns the file statuses.
+    """
+    result = ingest_documents(files, read_table(files.sparkSession, path), encoder)
+    upsert(result.chunks, path, "node_id", merge_chunks)
+    return result.files

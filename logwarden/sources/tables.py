@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logwarden.session import write_and_read
+
 MAX_STORED_LINE = 4096
 
 
@@ -27,37 +30,33 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_snapshot(df: DataFrame, path: str) -> str:
-    """Write a new version of a table next to the old ones.
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None if nothing has been stored yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def upsert(new: DataFrame, path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
+           buckets: int = 64) -> None:
+    """Merge rows into a table that lies in buckets of ``key``; only buckets with new rows are written again.
 
-    Readers of the old version are not disturbed and a half-written version
-    lacks its ``_SUCCESS`` file, so an upsert can read and replace one table.
+    The merged buckets are written aside first, because a table cannot be read
+    and overwritten at once; then they replace the old ones. One writer at a time.
     """
-    spark = df.sparkSession
-    version = f"{_next_version(spark, path):012d}-{uuid.uuid4().hex[:8]}"
-    target = f"{path}/version={version}"
-    df.write.mode("errorifexists").parquet(target)
-    return target
-
-
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [n for n in names if n.startswith("version=")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(done)
-
-
-def _next_version(spark: SparkSession, path: str) -> int:
-    done = _versions(spark, path)
-    return int(done[-1].split("=")[1].split("-")[0]) + 1 if done else 1
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The latest complete version, or None."""
-    done = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+    spark = new.sparkSession
+    rows = new.withColumn("bucket", bucket_of(key, buckets))
+    old = read_table(spark, path)
+    if old is not None:
+        touched = old.join(rows.select("bucket").distinct(), "bucket", "left_semi").select(*rows.columns)
+        merged = merge(touched.drop("bucket"), new)
+        rows = write_and_read(merged.withColumn("bucket", bucket_of(key, buckets)), "upsert")
+    (rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))

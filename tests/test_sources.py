@@ -84,11 +84,14 @@ def test_text_and_json_documents(spark, tmp_path):
     assert (t.source_url, t.technique_id, t.metadata["jsonl_line"]) == ("http://u", "T1003", "4")
 
 
-def test_snapshots(spark, tmp_path):
+def test_upsert_by_bucket(spark, tmp_path):
     path = str(tmp_path / "table")
-    assert Tables.read_snapshot(spark, path) is None
-    Tables.write_snapshot(spark.range(3), path)
-    Tables.write_snapshot(Tables.read_snapshot(spark, path).selectExpr("id + 10 AS id"), path)
-    assert sorted(r.id for r in Tables.read_snapshot(spark, path).collect()) == [10, 11, 12]
+    assert Tables.read_table(spark, path) is None
+    newest = lambda old, new: old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    rows = lambda *ids: spark.createDataFrame([(i, v) for i, v in ids], "id long, v int")
+    Tables.upsert(rows(*[(i, 1) for i in range(50)]), path, "id", newest, 8)
+    Tables.upsert(rows((3, 2), (60, 2)), path, "id", newest, 8)
+    got = {r.id: r.v for r in Tables.read_table(spark, path).collect()}
+    assert got == {**{i: 1 for i in range(50)}, 3: 2, 60: 2}
     with pytest.raises(Exception):
-        Tables.read_snapshot(spark, "nowhere://x")
+        Tables.read_table(spark, "nowhere://x")
