@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_INCIDENT_SCORE = 7
+MAX_HOSTS = 1000
+KEY = ("log_id", "event_type", "ip")
 
 
-def build_incidents(events: DataFrame, min_score: int = MIN_INCIDENT_SCORE) -> DataFrame:
+def _picked(events: DataFrame, min_score: int) -> DataFrame:
+    ioc_count = F.size("iocs") if "iocs" in events.columns else F.lit(0)
+    return events.filter(F.col("severity_score") >= min_score).select(
+        "log_id", F.coalesce("event_type", F.lit("Unknown Event")).alias("event_type"),
+        F.coalesce(F.nullif("source_ip", F.lit("")), F.lit("unknown")).alias("ip"),
+        "line_number", "severity_score", "severity", "threat_category", "mitre_technique_id",
+        "mitre_tactic", F.nullif("hostname", F.lit("")).alias("hostname"), ioc_count.cast("long").alias("n_iocs"))
+
+
+def incident_hosts(events: DataFrame, min_score: int = MIN_INCIDENT_SCORE) -> DataFrame:
+    """Every affected host of every incident, one row each: log_id, event_type, ip ('unknown' without one), hostname."""
+    return _picked(events, min_score).filter("hostname IS NOT NULL").select(*KEY, "hostname").distinct()
+
+
+def build_incidents(events: DataFrame, min_score: int = MIN_INCIDENT_SCORE, max_hosts: int = MAX_HOSTS) -> DataFrame:
     """One open incident per log, event type and source address.
 
     ``events`` are classified; an ``iocs`` array is counted when present. All
     aggregates combine on the map side, so a group that holds most of a log's
     events is reduced before the shuffle. Set-valued columns are sorted, and
-    null when empty.
+    null when empty. Techniques and tactics are as few as the rules; of the
+    hosts the first ``max_hosts`` are listed, and `incident_hosts` has them all.
     """
-    ioc_count = F.size("iocs") if "iocs" in events.columns else F.lit(0)
-    picked = events.filter(F.col("severity_score") >= min_score).select(
-        "log_id", F.coalesce("event_type", F.lit("Unknown Event")).alias("event_type"),
-        F.coalesce(F.nullif("source_ip", F.lit("")), F.lit("unknown")).alias("ip"),
-        "line_number", "severity_score", "severity", "threat_category", "mitre_technique_id",
-        "mitre_tactic", "hostname", ioc_count.cast("long").alias("n_iocs"))
-    grouped = picked.groupBy("log_id", "event_type", "ip").agg(
+    picked = _picked(events, min_score)
+    first = Window.partitionBy(*KEY).orderBy("hostname")
+    hosts = incident_hosts(events, min_score).withColumn("_n", F.row_number().over(first)) \
+        .filter(F.col("_n") <= max_hosts).groupBy(*KEY).agg(F.sort_array(F.collect_list("hostname")).alias("hosts"))
+    grouped = picked.groupBy(*KEY).agg(
         F.max(F.struct(F.col("severity_score"), (-F.col("line_number")).alias("order"),
                        F.col("severity"), F.col("threat_category"))).alias("primary"),
         F.count(F.lit(1)).alias("event_count"),
         F.sum("n_iocs").alias("ioc_count"),
         F.sort_array(F.collect_set("mitre_technique_id")).alias("techniques"),
-        F.sort_array(F.collect_set("mitre_tactic")).alias("tactics"),
-        F.sort_array(F.collect_set(F.nullif("hostname", F.lit("")))).alias("hosts"))
+        F.sort_array(F.collect_set("mitre_tactic")).alias("tactics")).join(hosts, list(KEY), "left")
 
     def or_null(name: str):
         return F.when(F.size(name) > 0, F.col(name))
@@ -47,4 +61,4 @@ def build_incidents(events: DataFrame, min_score: int = MIN_INCIDENT_SCORE) -> D
         or_null("techniques").alias("mitre_techniques"),
         or_null("tactics").alias("mitre_tactics"),
         F.when(known_ip.isNotNull(), F.array(known_ip)).alias("source_ips"),
-        or_null("hosts").alias("affected_hosts"))
+        F.col("hosts").alias("affected_hosts"))
