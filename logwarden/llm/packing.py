@@ -2,8 +2,9 @@
 
 1. Documents are tokenised where they lie: ids, then the end id. Only documents longer than ``size`` are cut, into
    pieces of ``size`` tokens. A full piece is a sequence of its own; it needs no packing.
-2. Pieces, as rows of a few numbers, are dealt by hash over ``pieces / ITEMS_PER_TASK`` partitions and sorted by that
-   hash, which gives every rerun the same order. A full piece fills a sequence of its own.
+2. Pieces, as rows of a few numbers, are dealt by hash over ``pieces / ITEMS_PER_TASK`` partitions and arrive there by
+   falling length (equal ones by that hash), which gives every rerun the same order and leaves the short ones to fill
+   the gaps. A full piece fills a sequence of its own.
 3. Each partition packs online: a piece goes into the open bin with the least free space that holds it. Bins are keyed
    by their free space; one bitset of ``size + 1`` bits tells which spaces exist, so the best fit is the lowest set bit
    at or above the length. If more than ``OPEN_BINS`` bins are open, the fullest closes.
@@ -30,8 +31,8 @@ from logwarden.llm.columns import only
 
 SIZE = 2048
 END_ID = 0
-OPEN_BINS = 4096
-ITEMS_PER_TASK = 250_000
+OPEN_BINS = 65_536
+ITEMS_PER_TASK = 100_000
 CACHE_WORDS = 600_000
 CHUNK_CHARS = 1_000_000
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
@@ -190,7 +191,7 @@ def pack(parts: DataFrame, n_pieces: int, size: int = SIZE, open_bins: int = OPE
 
     tasks = max(1, -(-n_pieces // items_per_task))
     order = F.xxhash64("doc_id", "copy", "piece")
-    return parts.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "copy", "piece") \
+    return parts.repartition(tasks, order).sortWithinPartitions(F.desc("length"), order, "doc_id", "copy", "piece") \
         .mapInArrow(run, PLACED)
 
 
