@@ -127,6 +127,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM words LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)
 """
 
+SQL["op5_sentence_dedup"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id, 9223372036854775807) AS place FROM documents),
+cut AS (
+  SELECT *, regexp_extract_all(coalesce(text, ''), '[ \t-\r]*(?:[^ \t-\r]*[^ \t-\r.!?][ \t\x0b-\r]+){0,15}[^ \t-\r]+[ \t-\r]*') AS s
+  FROM docs),
+runs AS (
+  SELECT r, place, i, list_filter(string_split_regex(translate(array_to_string(s[i:i + 2], ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w
+  FROM (SELECT r, place, s, unnest(range(1, len(s) - 1)) AS i FROM cut WHERE len(s) >= 3)),
+known AS (SELECT r, place, i, array_to_string(w, ' ') AS k FROM runs WHERE len(w) >= 10),
+judged AS (
+  SELECT r, i, count(*) OVER (PARTITION BY k) > 1 AND NOT (place = min(place) OVER (PARTITION BY k)
+         AND i = min(i) OVER (PARTITION BY k, r)) AS lost FROM known),
+gone AS (SELECT r, list(DISTINCT g) AS g FROM (SELECT r, unnest([i, i + 1, i + 2]) AS g FROM judged WHERE lost) GROUP BY r)
+SELECT doc_id, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(s, lambda x, i: NOT list_contains(g, i)), '') END AS text,
+       CAST(len(s) AS INTEGER) AS n_sentences, CAST(coalesce(len(g), 0) AS INTEGER) AS n_removed
+FROM cut LEFT JOIN gone USING (r)
+"""
+
 SQL["op6_url_filter"] = """
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -129,11 +129,17 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The training rows (text, lang): of each language the ``per_language`` rows of least hash of the text."""
-    rows = docs.select(F.col("`text`").cast("string").alias("text"), F.col("`lang`").cast("string").alias("lang")) \
-        .filter("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0") \
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")))
-    return rows.filter(F.col("rank") <= per_language).select("text", "lang")
+    """The training rows (text, lang): of each language the ``per_language`` rows of least hash of text and doc_id.
+
+    Only hashes are ranked; the texts of the chosen ones come from a second scan, whatever the number of tasks.
+    """
+    salt = [F.col("`doc_id`").cast("string")] if "doc_id" in docs.columns else []
+    rows = docs.select(F.col("`text`").cast("string").alias("text"), F.col("`lang`").cast("string").alias("lang"),
+                       F.xxhash64(F.col("`text`").cast("string"), *salt).alias("h")) \
+        .filter("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "h")
+    return rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("text", "lang")  # per_language a language
 
 
 def spread(text: bytes, windows: int = WINDOWS_PER_DOC) -> list[bytes]:
