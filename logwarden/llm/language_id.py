@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-BATCH = 512
+BATCH = 128
 PER_LANGUAGE = 600
 WINDOWS_PER_DOC = 3
 EPOCHS = 6
@@ -187,7 +188,7 @@ def with_language(docs: DataFrame, net: Network | None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            sizes, first, held = [len(t) for t in texts.to_pylist()], 0, 0
+            sizes, first, held = pc.binary_length(texts).to_pylist(), 0, 0
             for i, size in enumerate(sizes):  # about a megabyte at once
                 held += size
                 if held > 1_000_000 or i == len(sizes) - 1:

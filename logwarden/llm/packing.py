@@ -33,7 +33,7 @@ SIZE = 2048
 END_ID = 0
 OPEN_BINS = 65_536
 ITEMS_PER_TASK = 100_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 CHUNK_CHARS = 1_000_000
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
@@ -44,6 +44,8 @@ PLACED = PIECES + ", sequence_id long, offset long"
 #: printable ASCII, tab, new line, and the precomposed letters of U+00C0 to U+00FF.
 PLAIN = np.zeros(256, bool)
 PLAIN[[9, 10, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3]] = True
+#: ASCII marks: neither letters, digits nor white space.
+MARK = np.array([chr(b).isprintable() and not chr(b).isalnum() and b != 0x20 and b < 0x80 for b in range(256)])
 
 
 class WordTokenizer:
@@ -80,11 +82,23 @@ class WordTokenizer:
         return [np.asarray(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def plain(self, text: str) -> bool:
-        return bool(PLAIN[np.frombuffer(text.encode(), np.uint8)].all()) and not any(s in text for s in self.specials)
+    def words(self, text: str) -> list[str] | None:
+        """The words of a plain text; None if it must be encoded whole.
+
+        Commas and full stops become words of their own, so that a word is remembered once, unless they stand next to
+        another mark, with which the tokenizer would take them together.
+        """
+        data = np.frombuffer(text.encode(), np.uint8)
+        if not PLAIN[data].all() or any(s in text for s in self.specials):
+            return None
+        marks = MARK[data]
+        if not ((data[1:] == 44) | (data[1:] == 46) | (data[:-1] == 44) | (data[:-1] == 46))[marks[1:] & marks[:-1]].any() \
+                and "×" not in text and "÷" not in text:
+            text = text.replace(",", " , ").replace(".", " . ")
+        return text.split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [text.split() if self.plain(text) else None for text in texts]
+        words = [self.words(text) for text in texts]
         new = set().union(*(w for w in words if w)) - self.known.keys()
         if len(self.known) + len(new) > self.most_words:
             self.known, new = {}, set().union(*(w for w in words if w))
