@@ -100,6 +100,24 @@ def queries() -> dict[str, Query]:
 
 SQL = {}
 
+SQL["op1_suffix_dedup"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pieces AS (SELECT r, p, substr(x, 4000 * p + 1, 4398) AS y
+           FROM (SELECT r, x, unnest(range(0, CAST(len(x) // 2 - 199 + 1999 AS BIGINT) // 2000)) AS p FROM docs WHERE len(x) >= 400)),
+spots AS (SELECT r, 2000 * p + i AS i, md5(substr(y, 2 * i + 1, 400)) AS h
+          FROM (SELECT r, p, y, unnest(range(0, CAST(len(y) // 2 - 199 AS BIGINT))) AS i FROM pieces)),
+hits AS (SELECT r, i FROM spots WHERE h IN (SELECT h FROM spots GROUP BY h HAVING count(*) > 1)),
+edges AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hits),
+numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM edges),
+spans AS (SELECT r, g, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t, b - a AS n, b FROM spans),
+kept AS (SELECT r, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY t) AS k, max(b) AS e, sum(n) AS n, count(*) AS c
+         FROM gaps JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans,
+       sha256(unhex(CASE WHEN e IS NULL THEN x ELSE k || substr(x, 2 * e + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
 SQL["op3_decontaminate"] = r"""
 WITH words AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
