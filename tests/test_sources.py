@@ -22,7 +22,7 @@ def test_log_files(spark, tmp_path):
     lines = Logs.log_lines(files).join(files.select("log_id", "filename"), "log_id")
     got = {n: [(r.line_number, r.raw_line) for r in sorted(lines.filter(F.col("filename") == n).collect(), key=lambda r: r.line_number)] for n in ("a.log", "b.log", "c.log")}
     assert got["a.log"][:3] == [(1, "one"), (4, "two"), (5, "three")]
-    assert got["a.log"][3][0] == 6 and len(got["a.log"][3][1]) == 32_768
+    assert got["a.log"][3][0] == 6 and len(got["a.log"][3][1]) == 40_000
     assert got["b.log"] == [(1, "café")] and got["c.log"] == []
     stats = {r.filename: r for r in Logs.log_file_stats(files).join(files.select("log_id", "filename"), "log_id").collect()}
     assert (stats["a.log"].line_count, stats["c.log"].rejected, stats["b.log"].rejected) == (5, "empty", None)
