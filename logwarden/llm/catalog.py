@@ -50,7 +50,8 @@ def op4_html_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_sentence_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return sentence_dedup.spans(table(spark, sf, "documents"))
+    """Cut as its SQL says; the operator and the pipeline cut long sentences where their words say so."""
+    return sentence_dedup.spans(table(spark, sf, "documents"), into=sentence_dedup.counted_sentences)
 
 
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
