@@ -6,8 +6,9 @@
 2. Over all blocks of a path, text length and punctuation are added up and divided by the number of blocks: two ratios
    that are high for prose and low for menus and labels.
 3. Along the page both ratios are smoothed with a Gaussian kernel and fused; blocks above the mean are content nodes.
-4. The article is the innermost element that holds ``SHARE`` of the content nodes' text; every block inside it is
-   returned (a heading or a short paragraph among long ones too), but blocks of links below the threshold.
+4. The article is the innermost element that holds all content nodes but blocks of links; every block inside it is
+   returned (a heading, a short paragraph among long ones or a list of links too). If only the body holds them all,
+   blocks of links below the threshold are left out.
 
 Character references are decoded and white space in a block becomes one space. Defined results: a null or empty page, or
 one without text, gives an empty text; unclosed comments, scripts and elements run to the end of the page; repeated rows
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame
 
 from logwarden.llm.columns import only
 
-SHARE = 0.8
 KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 PUNCTUATION = re.compile(r"[^\w\s]")
 EXTRACTED = "page_id long, url string, text string"
@@ -43,6 +43,9 @@ LABELS = frozenset("ad ads advert advertisement advertising banner sponsor spons
                    "comments disqus reply replies respond cookie cookies consent notice gdpr popup modal newsletter "
                    "subscribe signup login search share sharing social pagination pager copyright legal contentinfo "
                    "complementary toolbar skip".split())
+#: Words that may stand beside those in a class name; with any other word (has-sidebar, no-comments) it marks nothing.
+FILLERS = frozenset("site main page top bottom left right primary secondary list box area section container wrapper block "
+                    "links items post bar global inner content".split())
 #: Elements that end an open element of the same kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -55,6 +58,12 @@ LABELLED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 WORD = re.compile(r"[a-z]+")
 
 
+def is_label(name: str) -> bool:
+    """Whether a whole class name, id or role says that its element is not the article."""
+    words = set(WORD.findall(name.lower()))
+    return not words.isdisjoint(LABELS) and words <= LABELS | FILLERS
+
+
 @dataclass
 class Block:
     path: str
@@ -62,6 +71,9 @@ class Block:
     text: str
     linked: int = 0  # characters inside links
 
+    def is_links(self) -> bool:
+        return 2 * self.linked > len(self.text)
+
 
 @dataclass
 class Page:
@@ -106,9 +118,8 @@ class Page:
                     break
                 if open_ not in INLINE:
                     break
-        labels = {w for m in LABELLED.finditer(attrs) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        outside = self.passed_over() or tag in OUTSIDE or (tag not in ("html", "body", "article", "main")
-                                                          and not labels.isdisjoint(LABELS))
+        labelled = any(is_label(name) for m in LABELLED.finditer(attrs) for name in (m[1] or m[2] or m[3] or "").split())
+        outside = self.passed_over() or tag in OUTSIDE or (tag not in ("html", "body", "article", "main") and labelled)
         if not attrs.endswith("/"):
             self.stack.append((tag, number, outside))
 
@@ -148,20 +159,24 @@ def fused_ratios(blocks: list[Block]) -> np.ndarray:
 
 
 def article(blocks: list[Block]) -> list[Block]:
-    """The blocks of the innermost element that holds most of the content nodes' text."""
+    """The blocks of the innermost element that holds all content nodes."""
     if not blocks:
         return []
     score = fused_ratios(blocks)
     content = score >= score.mean() * (1 - 1e-9)
-    held: dict[int, int] = {}
-    for b, c in zip(blocks, content.tolist(), strict=True):
-        for element in b.inside if c else ():
-            held[element] = held.get(element, 0) + len(b.text)
-    total = sum(len(b.text) for b, c in zip(blocks, content.tolist(), strict=True) if c)
-    around = [e for e, n in held.items() if n >= SHARE * total and is_container(e, blocks)]
+    nodes = [b for b, c in zip(blocks, content.tolist(), strict=True) if c]
+    nodes = [b for b in nodes if not b.is_links()] or nodes
+    around = [e for e in set.intersection(*(set(b.inside) for b in nodes)) if is_container(e, blocks)]
     inner = max(around, default=None)  # elements are numbered in page order, and these are nested
-    return [b for b, c in zip(blocks, content.tolist(), strict=True)
-            if (inner is None or inner in b.inside) and (c or 2 * b.linked <= len(b.text))]
+    if inner is None or all(tag in ("html", "body") for tag in path_to(inner, nodes[0])):
+        return [b for b, c in zip(blocks, content.tolist(), strict=True)
+                if (inner is None or inner in b.inside) and (c or not b.is_links())]
+    return [b for b in blocks if inner in b.inside]
+
+
+def path_to(element: int, block: Block) -> list[str]:
+    """The tags of the elements from the root to ``element``, one of those around a block."""
+    return block.path.split("/")[:block.inside.index(element) + 1]
 
 
 def is_container(element: int, blocks: list[Block]) -> bool:
