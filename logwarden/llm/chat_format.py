@@ -71,9 +71,9 @@ def by_turn(r: Column) -> Column:
 
 
 LAYOUTS = (
-    Layout("rows by turn", ("rows[]",), by_turn),
-    Layout("messages", ("messages[]",), listed("messages", "role", "content")),
-    Layout("from and value", ("conversations[]",), listed("conversations", "from", "value")),
+    Layout("rows by turn", ("rows[].role", "rows[].text", "rows[].turn"), by_turn),
+    Layout("messages", ("messages[].content", "messages[].role"), listed("messages", "role", "content")),
+    Layout("from and value", ("conversations[].from", "conversations[].value"), listed("conversations", "from", "value")),
     Layout("prompt and completion", ("completion", "prompt"), asked(("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt and response", ("prompt", "response"), asked(("user", "prompt"), ("assistant", "response"))),
     Layout("instruction", ("instruction", "output"), asked(("user", "instruction"), ("assistant", "output"))),
@@ -87,16 +87,22 @@ LAYOUTS = (
 )
 
 
-def field_paths(schema: T.StructType, at: Column, prefix: str = "") -> list[Column]:
-    """For every leaf of a record: its path if it holds a value, else null. An array is one leaf, ``name[]``."""
-    found = []
+def field_paths(schema: T.StructType, at: Column, prefix: str = "") -> dict[str, Column]:
+    """For every leaf of a record: its path, and the path if it holds a value, else null. The leaves of an array of
+    structs are the element fields that a layout names (``name[].field``); another array is one leaf, ``name[]``."""
+    found = {}
+    known = {p for layout in LAYOUTS for p in layout.paths}
     for f in schema:
         path, value = prefix + f.name, at[f.name]
         if isinstance(f.dataType, T.StructType):
-            found += field_paths(f.dataType, value, path + ".")
-        else:
-            path += "[]" if isinstance(f.dataType, T.ArrayType) else ""
-            found.append(F.when(value.isNotNull(), F.lit(path)))
+            found |= field_paths(f.dataType, value, path + ".")
+            continue
+        paths = [path]
+        if isinstance(f.dataType, T.ArrayType):
+            inner = f.dataType.elementType
+            names = [f"{path}[].{e.name}" for e in inner] if isinstance(inner, T.StructType) else []
+            paths = [n for n in names if n in known] or [path + "[]"]
+        found |= {p: F.when(value.isNotNull(), F.lit(p)) for p in paths}
     return found
 
 
@@ -106,7 +112,7 @@ def fingerprint(paths: Column) -> Column:
 
 
 def known_names() -> set[str]:
-    return {p.removesuffix("[]").split(".")[0] for layout in LAYOUTS for p in layout.paths}
+    return {p.split(".")[0].removesuffix("[]") for layout in LAYOUTS for p in layout.paths}
 
 
 def canonical_turns(records: DataFrame, id_column: str) -> DataFrame:
@@ -115,11 +121,11 @@ def canonical_turns(records: DataFrame, id_column: str) -> DataFrame:
     base = records.select(F.col(f"`{id_column}`").alias("id"), F.struct(
         *(F.col(f"`{f.name}`") for f in fields), F.lit(None).cast("int").alias("_none")).alias("r"))
     schema = T.StructType(fields)
-    paths = field_paths(schema, F.col("r")) or [F.lit(None).cast("string")]
-    base = base.withColumn("fp", fingerprint(F.array(*paths)))
+    paths = field_paths(schema, F.col("r"))
+    base = base.withColumn("fp", fingerprint(F.array(*(paths.values() or [F.lit(None).cast("string")]))))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in LAYOUTS:
-        if {p.removesuffix("[]").split(".")[0] for p in layout.paths} <= {f.name for f in fields}:
+        if set(layout.paths) <= paths.keys():
             fits = F.col("fp") == fingerprint(F.array(*map(F.lit, layout.paths)))
             name = F.when(fits, layout.name).otherwise(name)
             turns = F.when(fits, layout.turns(F.col("r")).cast(TURNS)).otherwise(turns)
