@@ -857,7 +857,8 @@ def q_bm25_postings(spark, sf):
 
 
 def q_bm25_terms(spark, sf):
-    return S.term_idf(S.build_bm25(document_nodes(spark, sf))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return S.term_idf(S.build_bm25(document_nodes(spark, sf))).select(
+        "term", "df", F.round(F.col("idf") * 1_000_000).cast("long").alias("idf_millionths"))
 
 
 def q_bm25_stats(spark, sf):

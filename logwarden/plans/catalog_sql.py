@@ -293,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "read_log_lines": f"""WITH f AS (SELECT doc_id AS log_id, regexp_split_to_array(text, '{break_}') AS parts FROM documents),
             g AS (SELECT log_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS raw_line FROM f)
-            SELECT log_id, i::INTEGER AS line_number, substr(raw_line, 1, 32768) AS raw_line FROM g WHERE regexp_matches(raw_line, '{NOT_WS}')""",
+            SELECT log_id, i::INTEGER AS line_number, raw_line FROM g WHERE regexp_matches(raw_line, '{NOT_WS}')""",
         "log_file_stats": f"""SELECT doc_id AS log_id, (length(text) - length(replace(text, chr(10), '')) +
             CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS line_count, strlen(text)::BIGINT AS file_size_bytes,
             CASE WHEN NOT regexp_matches(text, '{NOT_WS}') THEN 'empty' WHEN strlen(text) > 104857600 THEN 'too_large' ELSE '' END AS rejected FROM documents""",
@@ -508,7 +508,7 @@ def oracle_sql() -> dict[str, str]:
               round(count(*) FILTER (st = 'indexed') * 100.0 / count(*), 1) AS success_rate_pct FROM f""",
         "tokenise": f"SELECT doc_id AS node_id, len({words('lower(text)')})::BIGINT AS n_tokens, md5(array_to_string({words('lower(text)')}, ' ')) AS tokens_md5 FROM documents",
         "bm25_postings": f"WITH {DOC_NODES}, {BM25} SELECT term, node_id, tf, dl FROM p",
-        "bm25_terms": f"WITH {DOC_NODES}, {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
+        "bm25_terms": f"WITH {DOC_NODES}, {BM25} SELECT term, df, CAST(round(idf * 1000000) AS BIGINT) AS idf_millionths FROM idf",
         "bm25_stats": f"WITH {DOC_NODES}, {BM25} SELECT n_nodes, round(avg_len, 6) AS avg_len FROM n",
         "bm25_search": f"WITH {DOC_NODES}, {BM25_TOP} SELECT query_id, node_id, score, rank FROM sparse",
         "dense_search": f"""WITH {CENTROIDS}, nodes AS (SELECT vec_id AS node_id, embedding, label FROM embeddings), {dense('ce', 'nodes', 30)}
