@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import (chat_format, decontaminate, html_extract, language_id, packing, quality, sentence_dedup, simhash,
-                           substring_dedup, url_filter)
+from logwarden.llm import (chat_format, decontaminate, html_extract, language_id, merkle_manifest, packing, quality, sentence_dedup,
+                           simhash, substring_dedup, url_filter)
 from logwarden.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,10 +93,17 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.col("text").cast("string")
+    return merkle_manifest.audit(table(spark, sf, "documents"), F.when(tampered, F.replace(text, F.lit("\n"), F.lit("")))
+                                 .otherwise(text))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_language_id, op3_decontaminate, op4_html_extract, op5_sentence_dedup, op6_url_filter,
-        op7_quality, op8_simhash, op9_packing, op10_chat_format)}
+        op7_quality, op8_simhash, op9_packing, op10_chat_format, op13_merkle_manifest)}
 
 
 SQL = {}
@@ -200,6 +207,54 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE marked AS (
+  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, d: list_reduce(list_prepend(xor(c, d), CAST(range(8) AS BIGINT[])),
+      lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS c FROM documents),
+parts AS (
+  SELECT doc_id, source, text, CASE WHEN c % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS now,
+    coalesce(len(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+    coalesce(strlen(lang) || ':' || lang, '-') || coalesce(len(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM marked),
+leaves AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf, now
+  FROM (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS now FROM parts)),
+nodes AS (
+  SELECT source, 0 AS l, i, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, any_value(l) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS m FROM nodes) WHERE m > 1 GROUP BY source, i // 3),
+heights AS (SELECT source, max(l) AS top FROM nodes GROUP BY source),
+subroots AS (SELECT n.source, h AS subroot, row_number() OVER (ORDER BY n.source NULLS FIRST) - 1 AS i
+             FROM nodes n JOIN heights t ON n.source IS NOT DISTINCT FROM t.source AND l = top),
+over AS (
+  SELECT 0 AS l, i, subroot AS h FROM subroots
+  UNION ALL
+  SELECT any_value(l) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS m FROM over) WHERE m > 1 GROUP BY i // 3),
+known AS (
+  SELECT row_number() OVER () AS r, v.doc_id, v.source, v.i, v.leaf, v.now, s.i AS si, subroot, top
+  FROM leaves v JOIN subroots s ON v.source IS NOT DISTINCT FROM s.source JOIN heights t ON v.source IS NOT DISTINCT FROM t.source),
+places AS (
+  SELECT r, source, l, i // CAST(3 ** l AS BIGINT) AS z FROM (SELECT *, unnest(range(top)) AS l FROM known)),
+steps AS (
+  SELECT r, p.l AS l, string_agg(h, '' ORDER BY n.i) FILTER (n.i < z) AS a, string_agg(h, '' ORDER BY n.i) FILTER (n.i > z) AS b
+  FROM places p JOIN nodes n ON p.source IS NOT DISTINCT FROM n.source AND p.l = n.l AND n.i // 3 = z // 3 GROUP BY r, p.l
+  UNION ALL
+  SELECT r, 1000 + n.l, string_agg(h, '' ORDER BY n.i) FILTER (n.i < si // CAST(3 ** n.l AS BIGINT)),
+         string_agg(h, '' ORDER BY n.i) FILTER (n.i > si // CAST(3 ** n.l AS BIGINT))
+  FROM known JOIN over n ON n.i // 3 = si // CAST(3 ** (n.l + 1) AS BIGINT) AND n.l < (SELECT max(l) FROM over) GROUP BY r, n.l),
+proofs AS (
+  SELECT r, sha256(string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY l)) AS proof,
+         list(coalesce(a, '') || '|' || coalesce(b, '') ORDER BY l) AS s FROM steps GROUP BY r),
+folded AS (
+  SELECT known.*, coalesce(proof, sha256('')) AS proof_sha256, (SELECT h FROM over ORDER BY l DESC LIMIT 1) AS root,
+    list_reduce(list_prepend(now, coalesce(s, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM known LEFT JOIN proofs USING (r))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
