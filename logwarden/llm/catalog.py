@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm import (chat_format, decontaminate, html_extract, language_id, merkle_manifest, packing, quality, sentence_dedup,
-                           simhash, substring_dedup, url_filter)
+                           simhash, substring_dedup, token_alignment, url_filter)
 from logwarden.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,13 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.counted(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     text = F.col("text").cast("string")
@@ -103,7 +110,8 @@ def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_language_id, op3_decontaminate, op4_html_extract, op5_sentence_dedup, op6_url_filter,
-        op7_quality, op8_simhash, op9_packing, op10_chat_format, op13_merkle_manifest)}
+        op7_quality, op8_simhash, op9_packing, op10_chat_format, op12_token_alignment,
+        op13_merkle_manifest)}
 
 
 SQL = {}
