@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm import (chat_format, decontaminate, html_extract, language_id, merkle_manifest, packing, quality, sentence_dedup,
-                           simhash, substring_dedup, token_alignment, url_filter)
+                           simhash, substring_dedup, token_alignment, toxicity, url_filter)
 from logwarden.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,13 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = table(spark, sf, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(docs.filter(~held_out), table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,7 +117,7 @@ def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_language_id, op3_decontaminate, op4_html_extract, op5_sentence_dedup, op6_url_filter,
-        op7_quality, op8_simhash, op9_packing, op10_chat_format, op12_token_alignment,
+        op7_quality, op8_simhash, op9_packing, op10_chat_format, op11_toxicity, op12_token_alignment,
         op13_merkle_manifest)}
 
 
