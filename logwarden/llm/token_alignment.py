@@ -19,7 +19,7 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,6 +39,8 @@ BATCH_BYTES = 8_000_000
 #: Bytes of text whose matrices are held at once.
 BLOCK_BYTES = 500_000
 LINKS_AT_ONCE = 1_000_000
+#: Fixed value: how a byte-level vocabulary cuts a text before it merges.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEASURES = "n_a long, n_b long, n_groups long, n_links long, n_shared long, groups_sha256 string"
 FOUND = f"batch long, doc_id long, {MEASURES}, steps array<int>, times array<int>, pair long, links long"
 COUNTED = f"doc_id long, {MEASURES}, n_best long, count_sum long"
@@ -79,7 +81,7 @@ def row_product(a: Rows, b: Rows) -> Rows:
     firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     sums = np.add.reduceat(values, firsts) if len(keys) else values
     rows, at = np.divmod(keys[firsts], max(b.n_columns, 1))
-    return Rows(np.searchsorted(rows, np.arange(len(a.starts))), at, sums, b.n_columns)
+    return Rows(np.append(0, np.cumsum(np.bincount(rows, minlength=len(a.starts) - 1))), at, sums, b.n_columns)
 
 
 def incidence(lengths: np.ndarray) -> Rows:
@@ -115,16 +117,20 @@ class Pair:
     """Both tokenizers, and the bytes and names of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
-        letters = byte_of_letter()
-        self.n_a, self.n_b = self.a.get_vocab_size(), self.b.get_piece_size()
-        names = [self.a.id_to_token(i) for i in range(self.n_a)]
-        self.a_bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names]
+        from tiktoken import Encoding
+
+        with open(a_path, encoding="utf-8") as file:
+            described = json.load(file)
+        letters, specials = byte_of_letter(), {t["content"] for t in described["added_tokens"]}
+        ids = {bytes(letters[c] for c in t): i for t, i in described["model"]["vocab"].items() if t not in specials}
+        # merges are numbered in the order of their ranks, so the ids are the ranks
+        self.a = Encoding(a_path, pat_str=PIECES, mergeable_ranks=ids, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=b_path)
+        self.n_a, self.n_b = max(ids.values()) + 1, self.b.get_piece_size()
+        self.a_bytes = [b""] * self.n_a
+        for token, i in ids.items():
+            self.a_bytes[i] = token
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
                         else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.n_b)]
         self.a_lengths, self.b_lengths = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
@@ -134,7 +140,7 @@ class Pair:
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids by A of space + text, and by B of the text; none where either does not give the bytes back."""
         known = [t or "" for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in known], add_special_tokens=False)]
+        a = [self.a.encode_ordinary(f" {t}") for t in known]
         b = self.b.encode(known, num_threads=1)
         none: list[int] = []
         for k, text in enumerate(known):
@@ -171,9 +177,9 @@ class Block:
         a_lengths, b_lengths = pair.a_lengths[a], pair.b_lengths[b]
         links = row_product(incidence(a_lengths), transposed_incidence(b_lengths))
         a_stops, b_stops = np.cumsum(a_lengths), np.cumsum(b_lengths)
-        cuts = a_stops[np.isin(a_stops, b_stops, assume_unique=True)]
+        a_last, b_last = np.isin(a_stops, b_stops), np.isin(b_stops, a_stops)  # the last token of a group
         return Block(a, b, np.cumsum([0, *map(len, a_ids)]), np.cumsum([0, *map(len, b_ids)]), links,
-                     np.searchsorted(cuts, a_stops), np.searchsorted(cuts, b_stops), len(cuts))
+                     np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last, int(a_last.sum()))
 
     @property
     def link_ends(self) -> np.ndarray:
@@ -261,11 +267,11 @@ class Gathered:
         n_a, n_b, n_groups = (np.diff(x).tolist() for x in (block.a_ends, block.b_ends, block.group_ends))
         self.rows += zip(ids, n_a, n_b, n_groups, np.diff(ends).tolist(), block.shared_counts().tolist(),
                          [sha256(t.encode()).hexdigest() if t else "" for t in texts], strict=True)
-        for i in range(n):
-            found, times = np.unique(keys[ends[i]:ends[i + 1]], return_counts=True)
-            self.keys.append(found)
-            self.counts.append(times.astype(np.int32))
-            self.sizes.append(len(found))
+        most = self.pair.n_a * self.pair.n_b
+        found, times = np.unique(np.repeat(np.arange(n), np.diff(ends)) * most + keys, return_counts=True)
+        self.keys.append(found % most)
+        self.counts.append(times)
+        self.sizes += np.bincount(found // most, minlength=n).tolist()
 
     def out(self, number: int) -> Iterator[pa.RecordBatch]:
         keys, times = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (self.keys, self.counts))
