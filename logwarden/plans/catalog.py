@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logwarden.functions import network as N
 from logwarden.functions.arrays import l2_normalise, let
 from logwarden.functions.text import url_decode_twice, word_count
+from logwarden.operators import block_index as X
 from logwarden.operators import classify as C
 from logwarden.operators import detect as D
 from logwarden.operators import iocs as I
@@ -19,6 +20,7 @@ from logwarden.operators import parse
 from logwarden.operators import reports as R
 from logwarden.operators import search as S
 from logwarden.operators import updates as U
+from logwarden.operators import vector_cells as V
 from logwarden.operators.incidents import build_incidents
 from logwarden.operators.rules import rules_df
 from logwarden.plans import branch_lines as B
@@ -138,6 +140,39 @@ def nodes_of(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(vectors, "node_id", "full_outer")
 
 
+_stored: dict[tuple, object] = {}
+
+
+def once_stored(spark: SparkSession, sf: str, name: str, build: Callable[[str], object]) -> object:
+    """What ``build`` writes to a path of the shared folder, once per application and data."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        _stored[key] = build(scratch_path(spark, name))
+    return _stored[key]
+
+
+def bm25_index(spark: SparkSession, sf: str) -> S.Bm25Index:
+    """The index of the documents, built at the first search and stored for the next."""
+    return once_stored(spark, sf, "bm25", lambda path: S.store_index(S.build_bm25(document_nodes(spark, sf)), spark, path))
+
+
+def block_index(spark: SparkSession, sf: str) -> X.BlockIndex:
+    return once_stored(spark, sf, "blocks", lambda path: X.write_blocks(bm25_index(spark, sf), path))
+
+
+def cell_index(spark: SparkSession, sf: str) -> V.CellIndex:
+    return once_stored(spark, sf, "cells", lambda path: V.write_cells(vectors_of(spark, sf), path))
+
+
+def vectors_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding", "label")
+
+
+def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
     """Mean vector per label: few rows, whatever the size of the table."""
     parts = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
@@ -152,6 +187,11 @@ def text_queries(spark: SparkSession, sf: str) -> DataFrame:
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def document_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").filter("doc_id % 20 = 0").select(
+        F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def hybrid_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark text, with the centroid of one of the ten labels as vector."""
     vectors = centroids(spark, sf).select(F.col("query_id").alias("label"), "vector")
@@ -866,7 +906,28 @@ def q_bm25_stats(spark, sf):
 
 
 def q_bm25_search(spark, sf):
-    return S.bm25_search(S.build_bm25(document_nodes(spark, sf)), text_queries(spark, sf))
+    return S.bm25_search(bm25_index(spark, sf), text_queries(spark, sf))
+
+
+def q_bm25_block_search(spark, sf):
+    """The same texts asked of the index of blocks."""
+    return X.block_search(block_index(spark, sf), text_queries(spark, sf))
+
+
+def q_similar_documents(spark, sf):
+    """Every document whose id is divisible by 20 asked against all documents."""
+    return X.block_search(block_index(spark, sf), document_queries(spark, sf))
+
+
+def q_similar_vectors(spark, sf):
+    """Every vector whose id is divisible by 20 asked against all vectors, exactly: all cells are looked into."""
+    index = cell_index(spark, sf)
+    return V.search_cells(index, vector_queries(spark, sf), probes=len(index.centres))
+
+
+def q_similar_vectors_by_cells(spark, sf):
+    """The same from the nearest cells alone; tests measure the recall against the exact result."""
+    return V.search_cells(cell_index(spark, sf), vector_queries(spark, sf))
 
 
 def q_dense_search(spark, sf):
@@ -881,12 +942,12 @@ def q_dense_search_filtered(spark, sf):
 
 def q_rrf_fuse(spark, sf):
     nodes, asked = nodes_of(spark, sf), hybrid_queries(spark, sf)
-    fused = S.rrf_fuse(S.dense_search(nodes, asked), S.bm25_search(S.build_bm25(nodes), asked))
+    fused = S.rrf_fuse(S.dense_search(nodes, asked), S.bm25_search(bm25_index(spark, sf), asked))
     return fused.select("query_id", "node_id", "rrf_score", "rank")
 
 
 def q_hybrid_search(spark, sf):
-    found = S.hybrid_search(nodes_of(spark, sf), hybrid_queries(spark, sf))
+    found = S.hybrid_search(nodes_of(spark, sf), hybrid_queries(spark, sf), bm25_index(spark, sf))
     return found.select("query_id", "node_id", "rrf_score", "rank", "source_type")
 
 

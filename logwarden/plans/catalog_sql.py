@@ -222,11 +222,18 @@ BM25 = f"""tok AS (SELECT node_id, text, {words('lower(text)')} AS ws FROM nodes
   r AS (SELECT term, df, ln(n_nodes - df + 0.5) - ln(df + 0.5) AS raw FROM t, n),
   mi AS (SELECT round(avg(raw), 10) AS m FROM r),
   idf AS (SELECT term, df, CASE WHEN raw < 0 THEN m * 0.25 ELSE raw END AS idf FROM r, mi)"""
-BM25_TOP = f"""{BM25},
-  q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({words('lower(text)')}) AS term FROM benchmark) GROUP BY 1, 2),
+
+
+def bm25_top(queries: str) -> str:
+    """The best 30 nodes of the queries: (query_id, text)."""
+    return f"""{BM25},
+  q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({words('lower(text)')}) AS term FROM ({queries})) GROUP BY 1, 2),
   sp AS (SELECT query_id, node_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 6) AS score
     FROM p JOIN q USING (term) JOIN idf USING (term), n GROUP BY 1, 2),
   sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM sp) WHERE rank <= 30 AND score > 0)"""
+
+
+BM25_TOP = bm25_top("SELECT item_id AS query_id, text FROM benchmark")
 DOC_NODES = "nodes AS (SELECT doc_id AS node_id, text FROM documents)"
 ALL_NODES = """nodes AS (SELECT coalesce(doc_id, vec_id) AS node_id, text, source AS source_type, embedding
     FROM documents FULL OUTER JOIN embeddings ON doc_id = vec_id)"""
@@ -511,6 +518,11 @@ def oracle_sql() -> dict[str, str]:
         "bm25_terms": f"WITH {DOC_NODES}, {BM25} SELECT term, df, CAST(round(idf * 1000000) AS BIGINT) AS idf_millionths FROM idf",
         "bm25_stats": f"WITH {DOC_NODES}, {BM25} SELECT n_nodes, round(avg_len, 6) AS avg_len FROM n",
         "bm25_search": f"WITH {DOC_NODES}, {BM25_TOP} SELECT query_id, node_id, score, rank FROM sparse",
+        "bm25_block_search": f"WITH {DOC_NODES}, {BM25_TOP} SELECT query_id, node_id, score, rank FROM sparse",
+        "similar_documents": f"WITH {DOC_NODES}, {bm25_top('SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 20 = 0')} SELECT query_id, node_id, score, rank FROM sparse",
+        "similar_vectors": f"""WITH nodes AS (SELECT vec_id AS node_id, embedding FROM embeddings),
+            asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 20 = 0), {dense('asked', 'nodes', 30)}
+            SELECT query_id, node_id, score, rank FROM dense""",
         "dense_search": f"""WITH {CENTROIDS}, nodes AS (SELECT vec_id AS node_id, embedding, label FROM embeddings), {dense('ce', 'nodes', 30)}
             SELECT query_id, node_id, score, rank FROM dense""",
         "dense_search_filtered": f"""WITH {CENTROIDS}, nodes AS (SELECT vec_id AS node_id, embedding, label FROM embeddings), {dense('ce', 'nodes', 5, 'label = 3')}
