@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logwarden.operators.rule_tables import match_rule_table
 from logwarden.operators.rules import RULE_SCHEMA, RULES, Rule
 from logwarden.session import once_per_session
 
@@ -70,10 +71,10 @@ def match_rules(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
             .withColumn("_matched", matched).drop("_type", "_positions"))
 
 
-def classify_events(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def classify_events(events: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES) -> DataFrame:
     """Events with their classification columns; unmatched ones score 1, info.
 
-    Confidence: 0.7, +0.1 when the primary rule names log types, + 0.02 per
+    A few thousand rules may be constants of the plan; more are a table. Confidence: 0.7, +0.1 when the primary rule names log types, + 0.02 per
     matched rule up to 0.1.
     """
     matched = F.col("_matched")
@@ -83,7 +84,8 @@ def classify_events(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
     confidence = F.round(
         F.lit(BASE_CONFIDENCE) + F.when(F.size(first["log_types"]) > 0, 0.1).otherwise(0.0)
         + F.least(F.lit(0.1), n * 0.02), 2)
-    return match_rules(events, rules).select(
+    rows = match_rule_table(events, rules) if isinstance(rules, DataFrame) else match_rules(events, rules)
+    return rows.select(
         *events.columns,
         severity_label(score).alias("severity"),
         score.alias("severity_score"),

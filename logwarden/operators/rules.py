@@ -196,7 +196,8 @@ MAX_RULES = 5_000
 
 
 def load_rules(df: DataFrame) -> tuple[Rule, ...]:
-    """Rules from a table; its size is checked because rules become expressions."""
+    """Rules from a table; its size is checked because rules become expressions. ``classify_events`` takes a larger table
+    as it is."""
     rows = df.orderBy("seq").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")

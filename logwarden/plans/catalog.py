@@ -511,6 +511,28 @@ def q_classify(spark, sf):
         joined("matched_rules"), joined("tags"), "is_classified")
 
 
+def word_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for every word of five letters or more of the benchmark texts."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})")))).alias("w")
+    words = table(spark, sf, "benchmark").select(word).distinct()
+    n, none = F.length("w"), F.lit(None).cast("string")
+    columns = {
+        "rule_id": F.col("w"), "patterns": F.array("w"),
+        "log_types": F.when(n % 3 == 0, F.array(F.concat(F.lit("src"), n))).otherwise(F.array().cast("array<string>")),
+        **dict.fromkeys(("tactic_id", "tactic_name", "technique_id", "technique_name", "sub_technique_id", "sub_technique_name"), none),
+        "severity_score": 1 + n % 10, "threat_category": F.substring("w", 1, 2), "tags": F.array(F.substring("w", 1, 1)),
+        "priority": n, "seq": F.conv(F.substring(F.md5("w"), 1, 12), 16, 10).cast("long")}
+    return words.select(*(c.alias(name) for name, c in columns.items()))
+
+
+def q_classify_by_rule_table(spark, sf):
+    """The documents' texts as event types, their sources as log types, against a rule for every word of the benchmark."""
+    events = table(spark, sf, "documents").select("doc_id", F.col("text").alias("event_type"), F.col("source").alias("log_type"))
+    return C.classify_events(events, word_rules(spark, sf)).select(
+        "doc_id", F.size("matched_rules").alias("n_matched"), F.md5(F.array_join("matched_rules", "|")).alias("matched_md5"),
+        "severity", "severity_score", "threat_category", F.size("tags").alias("n_tags"), "confidence")
+
+
 def q_enrich_events(spark, sf):
     """The audit entries written into normalized_data, read back from JSON."""
     enriched = C.enrich_events(I.add_event_iocs(classified_syslog(spark, sf)))

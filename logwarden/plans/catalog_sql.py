@@ -518,6 +518,17 @@ def oracle_sql() -> dict[str, str]:
         "bm25_terms": f"WITH {DOC_NODES}, {BM25} SELECT term, df, CAST(round(idf * 1000000) AS BIGINT) AS idf_millionths FROM idf",
         "bm25_stats": f"WITH {DOC_NODES}, {BM25} SELECT n_nodes, round(avg_len, 6) AS avg_len FROM n",
         "bm25_search": f"WITH {DOC_NODES}, {BM25_TOP} SELECT query_id, node_id, score, rank FROM sparse",
+        "classify_by_rule_table": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark),
+            r AS (SELECT w, length(w) AS n, ('0x' || substr(md5(w), 1, 12))::BIGINT AS seq FROM w),
+            d AS (SELECT doc_id, source, lower(coalesce(text, '')) AS t FROM documents),
+            h AS (SELECT doc_id, w, n, seq FROM d JOIN r ON contains(t, w) WHERE n % 3 <> 0 OR source = 'src' || n),
+            g AS (SELECT doc_id, count(*) AS k, string_agg(w, '|' ORDER BY n, seq) AS ws, max(1 + n % 10) AS score,
+                substr(first(w ORDER BY n, seq), 1, 2) AS cat, first(n ORDER BY n, seq) AS n1, count(DISTINCT substr(w, 1, 1)) AS tags FROM h GROUP BY 1)
+            SELECT doc_id, coalesce(k, 0)::INTEGER AS n_matched, md5(coalesce(ws, '')) AS matched_md5,
+              CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 5 THEN 'medium' WHEN score >= 3 THEN 'low' ELSE 'info' END AS severity,
+              coalesce(score, 1)::INTEGER AS severity_score, coalesce(cat, 'Unclassified') AS threat_category, coalesce(tags, 0)::INTEGER AS n_tags,
+              CASE WHEN k > 0 THEN least(1.0, round(0.7 + CASE WHEN n1 % 3 = 0 THEN 0.1 ELSE 0.0 END + least(0.1, k * 0.02), 2)) ELSE 0.0 END::DOUBLE AS confidence
+            FROM documents LEFT JOIN g USING (doc_id)""",
         "bm25_block_search": f"WITH {DOC_NODES}, {BM25_TOP} SELECT query_id, node_id, score, rank FROM sparse",
         "similar_documents": f"WITH {DOC_NODES}, {bm25_top('SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 20 = 0')} SELECT query_id, node_id, score, rank FROM sparse",
         "similar_vectors": f"""WITH nodes AS (SELECT vec_id AS node_id, embedding FROM embeddings),
