@@ -32,6 +32,7 @@ from logwarden.session import scratch_path, ship_package, spread, write_and_read
 from logwarden.sources import documents as Docs
 from logwarden.sources import logs as Logs
 from logwarden.sources import tables as Tables
+from logwarden.streaming import piece_stream as Pieces
 from logwarden.streaming.log_stream import stream_logs
 
 YEAR = 2024
@@ -986,5 +987,31 @@ def q_stream_logs(spark, sf):
     return stored.groupBy("event_type", "severity").agg(F.count(F.lit(1)).alias("events"))
 
 
+def q_stream_pieces(spark, sf):
+    """Syslog files of forty logs that land in three pieces each, one batch after the other; what is stored per log."""
+    base = scratch_path(spark, "pieces")
+    lines = E.lines_of(events_of(spark, sf), E.SYSLOG).withColumn("lg", F.col("log_id") % 40)
+    n = lines.count()
+    for k in range(3):
+        part = lines.filter(F.least(F.lit(2), F.expr(f"(line_number - 1) * 3 div {max(n, 1)}")) == k)
+        part.withColumn("piece", F.lit(k)).repartition("lg").sortWithinPartitions("lg", "line_number") \
+            .select("lg", "piece", "raw_line").write.mode("append").partitionBy("lg", "piece").text(f"{base}/landing")
+        Pieces.stream_pieces(spark, f"{base}/landing", f"{base}/out", f"{base}/checkpoint", once=True,
+                             piece=r"/piece=(\d+)/[^/]*$", assume_year=YEAR).awaitTermination()
+    out = f"{base}/out"
+    Pieces.flush_held(spark, out, 1_000_000, assume_year=YEAR)
+    counts = {
+        "events": (Pieces.stored_events(spark, out), {"events": F.count("*"), "last_line": F.max("line_number")}),
+        "iocs": (Pieces.stored_iocs(spark, out), {"indicators": F.count("*"), "hits": F.sum("event_count")}),
+        "incidents": (Pieces.stored_incidents(spark, out), {
+            "incidents": F.count("*"), "incident_events": F.sum("event_count"), "incident_iocs": F.sum("ioc_count"),
+            "hosts": F.sum(F.size("affected_hosts"))})}
+    rows = Pieces.stored_logs(spark, out).select(
+        "log_id", F.regexp_extract("log", r"lg=(\d+)$", 1).cast("long").alias("lg"), "log_type", "line_count")
+    for table_, aggregates in counts.values():
+        rows = rows.join(table_.groupBy("log_id").agg(*(c.alias(name) for name, c in aggregates.items())), "log_id", "left")
+    return rows.drop("log_id")
+
+
 def queries() -> dict[str, Query]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}

@@ -541,5 +541,12 @@ def oracle_sql() -> dict[str, str]:
         "rrf_fuse": f"WITH {FUSED} SELECT query_id, node_id, rrf_score, rank FROM fr",
         "hybrid_search": f"WITH {FUSED} SELECT query_id, node_id, rrf_score, rank, source_type FROM fr JOIN nodes USING (node_id) WHERE rank <= 10",
         "knowledge_stats": f"WITH {ALL_NODES} SELECT count(*) AS points, count(*) FILTER (text <> '') AS corpus_size, max(len(embedding))::BIGINT AS vector_dim FROM nodes",
+        "stream_pieces": f"""WITH {SYSLOG_IOCS}, a AS (SELECT user_id % 40 AS lg, count(*) AS line_count FROM events GROUP BY 1),
+            i AS (SELECT lg, count(*) AS indicators, sum(n)::BIGINT AS hits FROM (SELECT log_id % 40 AS lg, h.t, h.v, count(*) AS n FROM si GROUP BY ALL) GROUP BY 1),
+            p AS (SELECT user_id % 40 AS lg, count(*) AS incident_events, sum(len(hits))::BIGINT AS incident_iocs, count(DISTINCT host) AS hosts
+              FROM e JOIN hl ON hl.line_number = e.ln WHERE et = 'purchase' GROUP BY 1)
+            SELECT lg, 'linux_syslog' AS log_type, line_count, line_count AS events, line_count::INTEGER AS last_line, indicators, hits,
+              CASE WHEN incident_events > 0 THEN 1 END::BIGINT AS incidents, incident_events, incident_iocs, hosts
+            FROM a JOIN i USING (lg) LEFT JOIN p USING (lg)""",
         "stream_logs": f"{CS} SELECT event_type, severity, count(*) AS events FROM c GROUP BY 1, 2",
     }
