@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.session import write_and_read
+
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -46,3 +48,18 @@ def starts(n_words: Column, width: int) -> Column:
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns with these types; every other column, whatever its name, stays behind."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))
+
+
+#: Plan nodes that give the rows of files in the same partitions and order each time.
+REPEATABLE = {"LogicalRelation", "Project", "Filter", "LocalRelation"}
+
+
+def repeatable(docs: DataFrame) -> DataFrame:
+    """``docs`` such that numbers of its rows are the same in every evaluation: as it is if it only scans, selects and
+    filters, else written once. A shuffle, for one, may deal rows anew each time it runs."""
+    def plain(plan) -> bool:
+        kids = plan.children()
+        return plan.nodeName() in REPEATABLE and all(plain(kids.apply(i)) for i in range(kids.size()))
+
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    return docs if plan.deterministic() and plain(plan) else write_and_read(docs, "input")

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on the smallest table."""
 
-from test_brute import brute_scan, fingerprint, least_linked, brute_sentences
+from test_brute import brute_scan, brute_sentences
+from test_near_copies import kept_rows
 
 import corpus_pipeline
 from logwarden.llm import catalog
@@ -17,11 +18,8 @@ def test_stages(spark):
         if k == 0:
             now = [(i, t) for i, t in now if t and any(c.isalpha() for c in t)]
         elif k == 1:
-            fps = {i: fingerprint(t) for i, t in now}
-            roots, least = least_linked(set(fps.values())), {}
-            for i, f in fps.items():
-                least[roots[f]] = min(least.get(roots[f], i), i)
-            now = [(i, t) for i, t in now if least[roots[fps[i]]] == i]
+            stay = set(kept_rows(now))
+            now = [(i, t) for i, t in now if str(i) in stay]
         elif k == 2:
             now = [(i, t) for i, t, _, _ in brute_sentences(now, 3, 10)]
         elif k == 3:
