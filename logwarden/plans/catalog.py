@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logwarden.functions import network as N
 from logwarden.functions.arrays import l2_normalise, let
 from logwarden.functions.text import url_decode_twice, word_count
+from logwarden.operators import address_blocks as Blocks
 from logwarden.operators import block_index as X
 from logwarden.operators import classify as C
 from logwarden.operators import detect as D
@@ -17,9 +18,11 @@ from logwarden.operators import iocs as I
 from logwarden.operators import knowledge as K
 from logwarden.operators import paging as P
 from logwarden.operators import parse
+from logwarden.operators import registered_domain as Domains
 from logwarden.operators import reports as R
 from logwarden.operators import search as S
 from logwarden.operators import updates as U
+from logwarden.operators import value_index as Values
 from logwarden.operators import vector_cells as V
 from logwarden.operators.incidents import build_incidents
 from logwarden.operators.rules import rules_df
@@ -152,6 +155,11 @@ def once_stored(spark: SparkSession, sf: str, name: str, build: Callable[[str],
     return _stored[key]
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bm25_index(spark: SparkSession, sf: str) -> S.Bm25Index:
     """The index of the documents, built at the first search and stored for the next."""
     return once_stored(spark, sf, "bm25", lambda path: S.store_index(S.build_bm25(document_nodes(spark, sf)), spark, path))
@@ -735,6 +743,33 @@ def q_search_iocs(spark, sf):
     return P.search_iocs(syslog_ioc_table(spark, sf), "USER1", "username").select("log_id", "ioc_type", "value")
 
 
+def q_search_iocs_indexed(spark, sf):
+    """The same search by the trigram index of the stored values."""
+    iocs = once_stored(spark, sf, "iocs", lambda path: stored(syslog_ioc_table(spark, sf), path))
+    index = once_stored(spark, sf, "values", lambda path: Values.write_values(iocs, path))
+    return Values.search_iocs_indexed(iocs, index, "USER1", "username").select("log_id", "ioc_type", "value")
+
+
+def q_address_blocks(spark, sf):
+    """Every event's address in the longest of the blocks that the events themselves give: /16, /24 and some /28."""
+    rows = events_of(spark, sf).select("event_id", F.expr(E.IP).alias("source_ip"))
+    three = F.substring_index("source_ip", ".", 3)
+    blocks = rows.select(F.explode(F.array(
+        F.lit("185.24.0.0/16"), F.when(F.col("event_id") % 3 == 0, F.concat(three, F.lit(".0/24"))),
+        F.when(F.col("event_id") % 50 == 0, F.concat("source_ip", F.lit("/28"))))).alias("cidr")).filter("cidr IS NOT NULL").distinct()
+    return Blocks.locate(rows, blocks).select("event_id", "source_ip", F.col("block.cidr").alias("cidr"))
+
+
+def q_registered_domains(spark, sf):
+    """The hosts of the pages by plain, wildcard and exception rules; the exceptions are sites of the pages."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host")
+    hosts = table(spark, sf, "pages").select(host).filter("host <> ''").distinct()
+    site = F.substring_index("host", ".", -3)
+    exceptions = hosts.filter("host LIKE '%.example.net' AND host LIKE '%tion%'").select(F.concat(F.lit("!"), site).alias("rule"))
+    plain = spark.createDataFrame([(r,) for r in ("com", "net", "org", "example.com", "*.example.net", "// a comment", "")], "rule string")
+    return Domains.registered_domains(hosts, plain.unionByName(exceptions))
+
+
 def q_search_paths(spark, sf):
     """Windows paths, found by a text with backslashes."""
     paths = I.text_iocs(threat_notes(spark, sf), "note", "event_id")

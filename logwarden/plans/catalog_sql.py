@@ -454,6 +454,19 @@ def oracle_sql() -> dict[str, str]:
         "page_threats": f"{C5} SELECT log_id, line_number, severity_score FROM c WHERE severity_score >= 5 ORDER BY severity_score DESC, line_number, log_id LIMIT 50 OFFSET 50",
         "page_iocs": f"WITH {SYSLOG_IOCS} SELECT log_id, ioc_type, value FROM sf WHERE ioc_type = 'ipv4' ORDER BY log_id, ioc_type, value LIMIT 30 OFFSET 90",
         "search_iocs": f"WITH {SYSLOG_IOCS} SELECT log_id, ioc_type, value FROM sf WHERE ioc_type = 'username' AND value ILIKE '%USER1%'",
+        "search_iocs_indexed": f"WITH {SYSLOG_IOCS} SELECT log_id, ioc_type, value FROM sf WHERE ioc_type = 'username' AND value ILIKE '%USER1%'",
+        "address_blocks": f"""WITH a AS (SELECT event_id, {E.IP} AS source_ip, (185 * 256 + 24)::BIGINT * 65536 + user_id % 256 * 256 + event_id % 250 + 1 AS n FROM events),
+            b AS (SELECT '185.24.0.0/16' AS cidr, 16 AS bits, (185 * 256 + 24)::BIGINT * 65536 AS low UNION ALL
+              SELECT DISTINCT regexp_replace(source_ip, '[0-9]+$', '0/24'), 24, n - n % 256 FROM a WHERE event_id % 3 = 0 UNION ALL
+              SELECT DISTINCT source_ip || '/28', 28, n - n % 16 FROM a WHERE event_id % 50 = 0)
+            SELECT event_id, source_ip, cidr FROM a JOIN b ON n BETWEEN low AND low + (1 << (32 - bits)) - 1
+            QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY bits DESC, cidr) = 1""",
+        "registered_domains": """WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages),
+            l AS (SELECT host, string_split(host, '.') AS p FROM h WHERE host <> ''),
+            x AS (SELECT DISTINCT array_to_string(p[-3:], '.') AS site FROM l WHERE host LIKE '%.example.net' AND host LIKE '%tion%'),
+            k AS (SELECT host, p, CASE WHEN host LIKE '%.example.net' AND array_to_string(p[-3:], '.') IN (SELECT site FROM x) THEN 2
+              WHEN host LIKE '%.example.net' THEN 3 WHEN host LIKE '%.example.com' OR host = 'example.com' THEN 2 ELSE 1 END AS s FROM l)
+            SELECT host, array_to_string(p[-s:], '.') AS suffix, CASE WHEN len(p) > s THEN array_to_string(p[-(s + 1):], '.') END AS domain FROM k""",
         "search_paths": rf"""SELECT event_id, 'C:\Users\' || {E.USER} || '\payload.exe' AS value FROM events WHERE lower({E.USER}) LIKE 'user1%'""",
         **{name: branch_sql(*expected) for name, expected in BRANCH_RESULTS.items()},
         "run_and_store": f"""WITH {LOGS}, n AS (SELECT user_id AS log_id, count(*) FILTER ((event_id + 1) % 10 <> 0) AS ok, count(*) FILTER ((event_id + 1) % 10 = 0) AS bad FROM events GROUP BY 1)
