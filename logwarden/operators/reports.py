@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logwarden.operators.classify import is_threat
 from logwarden.operators.iocs import log_iocs
 from logwarden.schemas import SEVERITIES
+from logwarden.session import write_and_read
 
 
 def for_log(df: DataFrame, log_id: int | None) -> DataFrame:
@@ -125,11 +126,22 @@ def run_summary(detected: DataFrame, events: DataFrame, stats: DataFrame,
             .join(stats, "log_id", "left").join(ips, "log_id", "left").join(hits, "log_id", "left"))
 
 
+def counted_sets(df: DataFrame, *sets: list[str], total: str | None = None) -> list[DataFrame]:
+    """Rows per value of each set of columns (``count``, and the ``total`` of a column), from one pass over ``df``."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    sums = [F.sum(total).alias("total")] if total else []
+    counts = write_and_read(df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("count"), *sums), "counts")
+    bits = {c: 1 << k for k, c in enumerate(reversed(columns))}  # set where a column is left out
+    return [counts.filter(F.col("_set") == sum(b for c, b in bits.items() if c not in s)).drop("_set") for s in sets]
+
+
 def statistics(logs: DataFrame, events: DataFrame, iocs: DataFrame, incidents: DataFrame, n: int = 10) -> DataFrame:
     """The platform report as one row.
 
-    Each table is aggregated to one row of its own columns; the rows are united
-    and folded, which needs no join between the tables.
+    Events and indicators are read once each: their groupings are sets of one
+    aggregation, which combines on the map side and is written. Each part is one
+    row of its own columns; the rows are united and folded, which needs no join.
     """
     def top_list(df: DataFrame, name: str) -> DataFrame:
         order = F.struct((-F.col(df.columns[-1])).alias("o"), *df.columns)
@@ -139,21 +151,32 @@ def statistics(logs: DataFrame, events: DataFrame, iocs: DataFrame, incidents: D
     def status(value: str) -> Column:
         return F.count_if(F.col("status") == value)
 
-    ioc_types = ioc_type_summary(iocs)
+    techniques = ["mitre_technique_id", "mitre_technique_name", "mitre_tactic"]
+    by_severity, by_type, by_technique = counted_sets(events, ["severity"], ["event_type"], techniques)
+    by_ioc_type, by_value, by_both = counted_sets(iocs, ["ioc_type"], ["value"], ["ioc_type", "value"], total="occurrence_count")
+
+    def most(counts: DataFrame, name: str, *columns: str) -> DataFrame:
+        known = counts.filter(" AND ".join(f"{c} IS NOT NULL" for c in columns)).select(*columns, F.col(name))
+        return known.orderBy(F.desc(name), *columns).limit(n)
+
+    def severity(value: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("severity") == value, F.col("count"))), F.lit(0)).alias(f"{value}_events")
+
+    addresses = by_both.filter("ioc_type = 'ipv4'").withColumnRenamed("total", "total_occurrences")
     parts = [
         logs.agg(F.count(F.lit(1)).alias("total_logs"), status("pending").alias("logs_pending"),
                  status("processing").alias("logs_processing"), status("completed").alias("logs_completed"),
                  status("failed").alias("logs_failed")),
-        events.agg(F.count(F.lit(1)).alias("total_events"), *_severity_counts()),
-        row_count(iocs, "total_iocs"),
-        unique_ioc_values(iocs).withColumnRenamed("unique_values", "unique_ioc_values"),
-        top_list(ioc_types, "ioc_type_summary"),
+        by_severity.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_events"), *map(severity, SEVERITIES)),
+        by_ioc_type.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_iocs")),
+        by_value.agg(F.count("value").alias("unique_ioc_values")),
+        top_list(by_ioc_type.filter("ioc_type IS NOT NULL").select("ioc_type", "count"), "ioc_type_summary"),
         incidents.agg(F.count(F.lit(1)).alias("total_incidents"), status("open").alias("open_incidents"),
                       F.count_if(F.col("severity") == "critical").alias("critical_incidents"),
                       F.count_if(F.col("severity") == "high").alias("high_incidents")),
-        top_list(top_ioc_values(iocs, "ipv4", n), "top_source_ips"),
-        top_list(top_mitre_techniques(events, n), "top_mitre_techniques"),
-        top_list(top_event_types(events, n), "top_event_types"),
+        top_list(most(addresses, "total_occurrences", "value"), "top_source_ips"),
+        top_list(most(by_technique, "count", *techniques), "top_mitre_techniques"),
+        top_list(most(by_type, "count", "event_type"), "top_event_types"),
     ]
     united = parts[0]
     for p in parts[1:]:

@@ -45,11 +45,12 @@ def limit_events(events: DataFrame, max_events: int | None) -> DataFrame:
 def process_lines(lines: DataFrame, overrides: DataFrame | None = None, assume_year: int | None = None,
                   max_events: int | None = None, include_private: bool = False,
                   rules: tuple[Rule, ...] = RULES, formats: list | None = None) -> tuple[DataFrame, DataFrame]:
-    """(detected types, classified events with ``iocs``), lazily.
+    """(detected types, classified events with ``iocs``).
 
-    ``overrides(log_id, force_log_type)`` names forced types.
+    ``overrides(log_id, force_log_type)`` names forced types. The types, one row
+    per log, are detected once and written; the events are lazy.
     """
-    detected = detect_log_type(lines)
+    detected = write_and_read(detect_log_type(lines), "detected")
     types = detected
     if overrides is not None:
         logs = detected.select("log_id").join(overrides, "log_id", "full_outer")
