@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from logwarden.llm import (chat_format, decontaminate, html_extract, language_id, merkle_manifest, packing, quality, sentence_dedup,
                            simhash, substring_dedup, token_alignment, toxicity, url_filter)
-from logwarden.session import ship_package
+from logwarden.session import ship_package, write_and_read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow")]
-LISTED_URLS = ("cheap-pills.example.com/", "spam-farm.example.org/")
+#: Names of sites that are listed under whatever suffix they stand.
+LISTED_NAMES = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,9 +54,20 @@ def op5_sentence_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_dedup.spans(table(spark, sf, "documents"))
 
 
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The list: the canonical URLs of the sites (last three labels) with a listed name that ``pages`` knows, and of each of
+    their folders. It grows with the pages."""
+    url = F.col("url").cast("string")
+    rows = pages.select(url_filter.host_of(url).alias("host"), url_filter.path_of(url).alias("path"))
+    site = F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)
+    known = rows.select(site.alias("site"), "path").filter(F.substring_index("site", ".", 1).isin(*LISTED_NAMES))
+    keys = F.array(F.concat("site", F.lit("/")), F.concat("site", F.regexp_extract("path", "^/(?:[^/]*/)*", 0)))
+    return known.select(F.explode(keys).alias("key")).filter("key LIKE '%/'").distinct()
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in LISTED_URLS], "key string")
-    return url_filter.filter_urls(table(spark, sf, "pages"), listed, URL_RULES) \
+    pages = table(spark, sf, "pages")
+    return url_filter.filter_urls(pages, write_and_read(listed_urls(pages), "listed"), URL_RULES) \
         .select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -167,7 +179,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM words LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)
 """
 
-SQL["op6_url_filter"] = """
+SQL["op6_url_filter"] = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
@@ -182,8 +194,8 @@ ruled AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN host IN ('spam-farm.example.org', 'cheap-pills.example.com') OR host LIKE '%.spam-farm.example.org'
-      OR host LIKE '%.cheap-pills.example.com' THEN 'block' ELSE 'allow' END AS verdict
+    WHEN regexp_matches(host, '(^|\.)(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.[^.]+\.[^.]+$') THEN 'block'
+    ELSE 'allow' END AS verdict
 FROM ruled
 """
 
