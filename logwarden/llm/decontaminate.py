@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.columns import ascii_lower, bind, once, only, split_words, starts
+from logwarden.llm.columns import ascii_lower, bind, once, only, repeatable, split_words, starts
 
 WIDTH = 13
 MAX_WINDOWS = 50_000
@@ -115,7 +115,7 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, item_ids (sorted strings), contaminated."""
     windows = benchmark_windows(benchmark, width)
-    words = only(docs, doc_id="long", text="string").select("doc_id", once(words_of(F.col("text"))).alias("words"))
+    words = only(repeatable(docs), doc_id="long", text="string").select("doc_id", once(words_of(F.col("text"))).alias("words"))
     found = with_occurrences(words, windows, ship(windows, max_windows)).select(
         "doc_id", F.size("words").cast("long").alias("n_words"), "found")
     rows = found.select("doc_id", "n_words", once(covered(F.col("found"))).alias("n_hit"), F.array_distinct(
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows:
 def judged(docs: DataFrame, benchmark: DataFrame, width: int, max_windows: int) -> DataFrame:
     """``docs`` as they are, nested under ``doc``, with words and occurrences beside them."""
     windows = benchmark_windows(benchmark, width)
-    rows = docs.select(F.struct("*").alias("doc"), once(words_of(F.col("`text`"))).alias("words"))
+    rows = repeatable(docs).select(F.struct("*").alias("doc"), once(words_of(F.col("`text`"))).alias("words"))
     return with_occurrences(rows, windows, ship(windows, max_windows))
 
 

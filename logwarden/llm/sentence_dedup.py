@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.llm.columns import repeatable
+
 RUN = 3
 MAX_WORDS = 16
 NEIGHBOURS = 3
@@ -173,6 +175,7 @@ def cleaned(docs: DataFrame, run: int, min_words: int, into: Cut) -> DataFrame:
                      pa.array(columns[2], pa.int32())], names=["rest", "text", "n_sentences", "n_removed"])
 
     rest = [c for c in docs.columns if c != "text"]
+    docs = repeatable(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"),
                        F.coalesce(F.col("`doc_id`").cast("long"), F.lit(LAST)).alias("place"),
                        F.col("`text`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))

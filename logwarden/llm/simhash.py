@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.columns import ascii_lower, once, only, space_words, starts
+from logwarden.llm.columns import ascii_lower, once, only, repeatable, space_words, starts
 from logwarden.llm.components import components
 from logwarden.session import write_and_read
 
@@ -240,6 +240,7 @@ def classes(docs: DataFrame, width: int = WIDTH, max_group: int = MAX_GROUP) ->
 
 def keep_one(docs: DataFrame, width: int = WIDTH, max_group: int = MAX_GROUP) -> DataFrame:
     """``docs`` with one row of each class, the one of least doc_id; all columns kept."""
+    docs = repeatable(docs)
     stay = row_classes(docs, width, max_group).filter("_row = first").select(F.col("_row").alias("_keep"))
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row"))
     return rows.join(stay, rows["_row"] == stay["_keep"], "left_semi").select("doc.*")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.columns import ascii_lower, only
+from logwarden.llm.columns import ascii_lower, only, repeatable
 
 KEYS_PER_BLOCK = 4
 BITS = 4
@@ -100,7 +100,7 @@ def listed_rows(pages: DataFrame, listed: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
     """Per page row: page_id, host, path, rule, listed, verdict. ``listed`` has canonical URLs in ``key``."""
-    rows = only(pages, page_id="long", url="string").select(
+    rows = only(repeatable(pages), page_id="long", url="string").select(
         F.monotonically_increasing_id().alias("_row"), "page_id", host_of(F.col("url")).alias("host"),
         path_of(F.col("url")).alias("path"))
     hits = listed_rows(rows, listed).withColumn("hit", F.lit(True))
