@@ -18,7 +18,8 @@ HEADLINE = (
     "severity_breakdown", "top_techniques", "top_source_ips", "upsert_iocs", "log_run", "statistics", "run_summary",
     "ingest_files", "stream_logs",
     "validate_docs", "doc_hash_dedup", "chunk_docs", "bm25_terms", "bm25_search", "dense_search", "rrf_fuse",
-    "hybrid_search",
+    "hybrid_search", "bm25_block_search", "similar_vectors", "similar_vectors_by_cells", "classify_by_rule_table", "address_blocks",
+    "search_iocs_indexed",
 )
 
 
