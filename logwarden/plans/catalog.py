@@ -21,6 +21,7 @@ from logwarden.operators import parse
 from logwarden.operators import registered_domain as Domains
 from logwarden.operators import reports as R
 from logwarden.operators import search as S
+from logwarden.operators import stored_hashes as Hashes
 from logwarden.operators import updates as U
 from logwarden.operators import value_index as Values
 from logwarden.operators import vector_cells as V
@@ -848,6 +849,14 @@ def q_doc_hash_dedup(spark, sf):
     return K.drop_duplicate_docs(documents_as_docs(spark, sf), stored, "doc_id").select("doc_id", "doc_hash")
 
 
+def q_doc_hash_filter(spark, sf):
+    """Documents stored by two ingestions, Spanish and German ones; then the new ones among all, by the persisted filter."""
+    docs, out = documents_as_docs(spark, sf), scratch_path(spark, "hashes")
+    for lang in ("es", "de"):
+        Hashes.add_hashes(docs.filter(F.col("metadata")["lang"] == lang), out, lang)
+    return K.drop_duplicate_docs(docs, Hashes.known_hashes(docs, out), "doc_id").select("doc_id", "doc_hash")
+
+
 def some_without_hash(spark, sf):
     return documents_as_docs(spark, sf).withColumn("doc_hash", F.when(F.col("doc_id") % 3 > 0, F.col("doc_hash")))
 

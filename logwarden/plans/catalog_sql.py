@@ -500,6 +500,8 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN chars < 200 THEN 'Very short document; may not chunk meaningfully — consider merging with related content' END], lambda w: w IS NOT NULL), '|') END AS warnings FROM vr""",
         "doc_hash_dedup": """SELECT min(doc_id) AS doc_id, sha256(text) AS doc_hash FROM documents WHERE sha256(text) NOT IN
             (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) GROUP BY 2""",
+        "doc_hash_filter": """SELECT min(doc_id) AS doc_id, sha256(text) AS doc_hash FROM documents WHERE sha256(text) NOT IN
+            (SELECT sha256(text) FROM documents WHERE lang IN ('es', 'de')) GROUP BY 2""",
         "mark_duplicates": """WITH h AS (SELECT doc_id, sha256(text) AS a, CASE WHEN doc_id % 3 > 0 THEN sha256(text) END AS b FROM documents)
             SELECT doc_id, row_number() OVER (PARTITION BY a ORDER BY doc_id) > 1 AS is_duplicate,
               b IS NOT NULL AND (row_number() OVER (PARTITION BY b ORDER BY doc_id) > 1 OR b IN (SELECT sha256(text) FROM documents WHERE lang = 'es')) AS is_known FROM h""",
