@@ -11,9 +11,11 @@ so only anchors meet, one for about 60 bytes.
 3. Of the others each distinct context is taken once. A task gets the contexts of whole grams and sorts the suffixes that
    leave the anchor to the right, and those that leave it to the left, by deep-shallow sorting. A window that reaches
    s bytes left of the anchor is repeated if another context lies in the same run of common prefixes of at least s on
-   the left and of the rest on the right. Contexts are compared by their bytes, never by hashes.
+   the left and of the rest on the right. Different contexts are compared by their bytes; which are equal is told by
+   their 64-bit hashes, so that two of n contexts of a gram are taken for equal wrongly once in 2**65 / n**2 grams.
 4. A gram with more than ``MAX_GROUP`` distinct contexts is not held: its contexts go on to another round, cut by where
-   their windows start, under the longer strings that all windows of a cut share, until a cut is one window.
+   their windows start, under the longer strings that all windows of a cut share. Cuts of one window each are counted by
+   an aggregation, so that no task ever holds the surroundings of a passage, however many there are.
 5. Repeated windows go back to the members of their contexts and to their texts, where the bytes go.
 
 Texts travel compressed, since they are joined with their findings twice.
@@ -34,6 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.llm.columns import repeatable
 from logwarden.llm.deep_shallow import common_prefixes, order_of, words_of
 from logwarden.session import write_and_read
 
@@ -151,11 +154,15 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """The anchors whose gram occurs more than once; ``ragged`` if it has more than one context."""
+    """The anchors whose gram occurs more than once; ``ragged`` if it has more than one context.
+
+    The repeated grams are written before the join, so that both of its sides are plain shuffles, of which adaptive execution
+    splits the one that a hot gram skews.
+    """
     found = anchors(rows)
     grams = found.groupBy("key").agg(F.count("*").alias("times"), F.min("ctx").alias("low"), F.max("ctx").alias("high")) \
         .filter("times > 1").select("key", (F.col("low") != F.col("high")).alias("ragged"))
-    return write_and_read(found.join(grams, "key"), "anchors")
+    return write_and_read(found.join(write_and_read(grams, "grams"), "key"), "anchors")
 
 
 # -- contexts -----------------------------------------------------------------
@@ -306,11 +313,10 @@ def cut_contexts(contexts: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_spans(contexts: DataFrame, max_group: int) -> DataFrame:
-    """``SPANS`` of all contexts; rounds end when a cut is one window, whose groups hold equal strings only."""
+    """``SPANS`` of all contexts; rounds end when a cut is one window, which needs no sorting: see ``single_windows``."""
     found, width, done = contexts, LENGTH - GRAM + 1, None
     while True:
-        most = max_group if width > 1 else 1 << 62
-        result = write_and_read(sort_contexts(found, most), "spans")
+        result = write_and_read(sort_contexts(found, max_group), "spans")
         part = result.filter("again IS NULL").select("pk", "pc", "spans")
         done = part if done is None else done.unionByName(part)
         left = result.filter("again IS NOT NULL").select("again.*")
@@ -318,6 +324,20 @@ def repeated_spans(contexts: DataFrame, max_group: int) -> DataFrame:
             return done
         width = max(1, -(-width // CUTS))
         found = cut_contexts(left, width)
+        if width == 1:
+            return done.unionByName(single_windows(found))
+
+
+def single_windows(contexts: DataFrame) -> DataFrame:
+    """``SPANS`` of contexts of one window each: strings are counted, not held, however many rows have the same one.
+
+    Counts combine on the map side and are written before the join, whose other side adaptive execution may split.
+    """
+    rows = write_and_read(contexts.select("key", "pk", "pc", "base", "many", "bytes"), "windows")
+    times = write_and_read(rows.groupBy("key", "bytes").agg(
+        ((F.count("*") > 1) | F.bool_or("many")).alias("repeated")).filter("repeated").select("key", "bytes"), "repeated")
+    span = F.struct(F.col("base").alias("a"), (F.col("base") + LENGTH).alias("b"))
+    return rows.join(times, ["key", "bytes"]).select("pk", "pc", F.array(span).alias("spans"))
 
 
 # -- texts --------------------------------------------------------------------
@@ -359,6 +379,7 @@ def remove_repeats(docs: DataFrame, max_group: int = MAX_GROUP, with_kept: bool
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds)],
                                                  names=[c.split()[0] for c in result.split(", ")])
 
+    docs = repeatable(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("`doc_id`").cast("long").alias("doc_id"),
                        F.encode(F.coalesce(F.col("`text`").cast("string"), F.lit("")), "UTF-8").alias("text"))
     repeated = repeated_anchors(rows.select("row", "text"))
