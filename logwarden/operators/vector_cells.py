@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.operators.search import DENSE_TOP_K, best_rows, node_type, top_k, unit
+from logwarden.operators.search import DENSE_TOP_K, TILE, best_rows, merge_best, node_type, top_k, unit
 from logwarden.session import write_and_read
 
 SAMPLE = 20_000  # vectors that the centres are fitted on
@@ -138,6 +138,16 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int = DENSE_TOP_K, pro
     return top_k(met_in_blocks(index.vectors, probed, k, threshold), k).select("query_id", "node_id", "score", "rank")
 
 
+def met_in_one_cell(nodes: DataFrame, asked: DataFrame, width: int, k: int, threshold: float | None) -> DataFrame:
+    """All of ``nodes`` (node_id, embedding) against all of ``asked`` (query_id, vector), in blocks."""
+    centre = np.eye(1, width)
+    cell = F.lit(0).alias("cell")
+    vectors = with_cells(nodes, centre, 1).select(cell, "node_id", "embedding")
+    queries = with_cells(asked.select(F.col("query_id").alias("node_id"), F.col("vector").alias("embedding")), centre, 1)
+    return met_in_blocks(vectors, queries.select(cell, F.col("node_id").alias("query_id"), F.col("embedding").alias("vector")),
+                         k, threshold)
+
+
 def met_in_blocks(vectors: DataFrame, probed: DataFrame, k: int, threshold: float | None,
                   block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, node_id, score): the best ``k`` of each two blocks of a cell's vectors and queries."""
@@ -157,13 +167,14 @@ def met_in_blocks(vectors: DataFrame, probed: DataFrame, k: int, threshold: floa
 
     def run(key: tuple, nodes: pa.Table, asked: pa.Table) -> pa.Table:
         a, b = (np.array(t.column(c).to_pylist(), "float64") for t, c in ((asked, "vector"), (nodes, "embedding")))
-        if not len(a) or not len(b):
-            found = pd.DataFrame({"query_id": np.zeros(0, "int64"), "node_id": nodes.column("node_id").to_pandas()[:0], "score": np.zeros(0)})
-        else:
-            found = best_rows(asked.column("query_id").to_numpy(), np.round(a @ b.T, DIGITS),
-                              nodes.column("node_id").to_pandas().to_numpy(), k, threshold)
-            found = found.sort_values(["query_id", "score", "node_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        return pa.Table.from_pandas(found, preserve_index=False)
+        query_ids, node_ids = asked.column("query_id").to_numpy(), nodes.column("node_id").to_pandas().to_numpy()
+        best = pd.DataFrame({"query_id": query_ids[:0], "node_id": node_ids[:0], "score": np.zeros(0)})
+        at_once = max(1, TILE // max(1, len(a)))
+        for first in range(0, len(b) if len(a) else 0, at_once):
+            part = slice(first, first + at_once)
+            found = best_rows(query_ids, np.round(a @ b[part].T, DIGITS), node_ids[part], k, threshold)
+            best = merge_best(best if len(best) else None, found, k)
+        return pa.Table.from_pandas(best, preserve_index=False)
 
     return left.groupBy("cell", "part", "tile").cogroup(right.groupBy("of", "of_part", "of_tile")).applyInArrow(
         run, f"query_id long, node_id {node_type(vectors)}, score double")

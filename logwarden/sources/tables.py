@@ -10,19 +10,16 @@ from pyspark.sql import functions as F
 
 from logwarden.session import write_and_read
 
-MAX_STORED_LINE = 4096
+def event_rows(events: DataFrame, max_line: int | None = None) -> DataFrame:
+    """Events as stored: dated, and with raw lines of ``max_line`` characters at most if a store has such a width."""
+    line = F.col("raw_line") if max_line is None else F.substring("raw_line", 1, max_line)
+    return events.withColumn("raw_line", line).withColumn("event_date", F.to_date("event_timestamp"))
 
 
-def event_rows(events: DataFrame) -> DataFrame:
-    """Events as stored: the raw line is cut to the column width, and dated."""
-    return events.withColumn("raw_line", F.substring("raw_line", 1, MAX_STORED_LINE)).withColumn(
-        "event_date", F.to_date("event_timestamp"))
-
-
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+def write_events(events: DataFrame, path: str, mode: str = "append", max_line: int | None = None) -> None:
     """Events by date. Rebalancing merges small files per date and splits a date
     that holds much of the data over several tasks."""
-    (event_rows(events).hint("rebalance", "event_date")
+    (event_rows(events, max_line).hint("rebalance", "event_date")
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
 

@@ -50,3 +50,10 @@ def test_stream_counts_each_file_once(spark, tmp_path):
     assert events.count() == 3 and events.select("batch_id").distinct().count() == 2
     assert spark.read.parquet(f"{out}/incidents").count() == 1
     assert spark.read.parquet(f"{out}/iocs").filter("ioc_type = 'ipv4'").count() == 2
+
+
+def test_line_width_is_a_parameter(spark):
+    from logwarden.sources.tables import event_rows
+
+    rows = spark.createDataFrame([("x" * 5000,)], "raw_line string").withColumn("event_timestamp", F.lit(None).cast("timestamp"))
+    assert len(event_rows(rows).first().raw_line) == 5000 and len(event_rows(rows, 4096).first().raw_line) == 4096
