@@ -85,3 +85,43 @@ def test_event_fields(spark, lines):
     assert ("port", "4444", 0.9, "source_port") in got and not any(v == "443" for _, v, _, _ in got)
     assert got[-2:] == [("domain", "bad.org", 0.64, "raw_line"), ("domain", "a.xyz", 0.64, "raw_line")]
     assert len(I.add_event_iocs(event, max_iocs=2).first().iocs) == 2
+
+
+# The usual forms of patterns that the library writes for speed, as Java patterns.
+_HEX = "(?<![0-9a-fA-F])([0-9a-fA-F]{%d})(?![0-9a-fA-F])"
+_NAMES = (r"(?i)(?<![/\\])([A-Za-z0-9_\-\.]{1,128}\.(?:exe|dll|bat|cmd|ps1|vbs|js|jar|sh|bash|py|pl|rb|"
+          r"php|asp|aspx|jsp|cgi|msi|hta|scr|com|pif|lnk|iso|img))(?![A-Za-z0-9_\-])")
+_KEYS = (r"(?i)((?:HKEY_LOCAL_MACHINE|HKLM|HKEY_CURRENT_USER|HKCU|HKEY_USERS|HKU|HKEY_CLASSES_ROOT|"
+         r"""HKCR|HKEY_CURRENT_CONFIG|HKCC)(?:\\[^\x00-\x1f"'<>|]{1,255})+)""")
+
+
+def test_fast_patterns_find_what_the_usual_ones_find(spark):
+    random.seed(8)
+    parts = ["a", "B", ".exe", ".js", ".jsp", ".Sh", ".", "/", "\\", "-", "_", " ", "é", "HKLM", "hkey_users", "HKU", "\\x", "1", "25",
+             "1.2.3.4", "[.]", "(.)", "]", ":", "::", "2001:", "ffff", "\u0131", "\u212a", "a.", "b-c", ".com", "a" * 32, "b" * 40, "c" * 64, "0", "x" * 130, "+", "@", "\n"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(1, 16))) for _ in range(4000)]
+    t, every = F.col("t"), lambda p: F.regexp_extract_all("t", F.lit(p), 1)
+    whole = lambda n: F.filter(every(I.HEX_RUN), lambda m: F.length(m) == n)
+    v6 = I.IPV6.replace("(?=[0-9a-fA-F]{0,4}:)", "")
+    v4 = I.IPV4.replace(r"(?=\d)", "")
+    three_dots = lambda a: F.filter(a, lambda m: F.translate(m, "[](){}", "").rlike(r"^(?:\d+\.){3}\d+$"))
+    dotted = F.when(t.rlike(I.DOTTED), every(I.IPV4)).otherwise(F.array().cast("array<string>"))
+    domain = I.DOMAIN.replace(I._AHEAD, "")
+    mail = r"(?:(?<![a-zA-Z0-9._%+\-])|\G)([a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"
+    pairs = {"names": (every(_NAMES), I.file_names(t)), "keys": (every(_KEYS), every(I.REGISTRY_KEY)),
+             "v6": (every(v6), every(I.IPV6)), "v4": (three_dots(every(v4)), three_dots(dotted)), "mail": (every(mail), every(I.EMAIL)),
+             "domain": (every(domain), every(I.DOMAIN)), **{f"hex{n}": (every(_HEX % n), whole(n)) for n in (32, 40, 64)}}
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").repartition(8).select(
+        "t", *[c.alias(f"{name}_{i}") for name, both in pairs.items() for i, c in enumerate(both)]).collect()
+    for name in pairs:
+        assert any(r[f"{name}_0"] for r in rows), name
+        for r in rows:
+            assert r[f"{name}_0"] == r[f"{name}_1"], (name, r.t)
+
+
+def test_asked_types_alone(spark):
+    text = "a@b-c.com 185.24.18.15 CVE-2021-44228 MD5=" + "a" * 32 + " run evil.exe C:\\Users\\x\\y.dll http://c2.net/a " + "b" * 40
+    all_found = found(spark, text)
+    for kind in ("cve", "md5", "sha1", "file_path", "filename", "domain"):
+        only = found(spark, text, types=(kind,))
+        assert only and only == [x for x in all_found if x[0] == kind]
