@@ -52,3 +52,13 @@ def test_nothing(spark):
     assert C.classify_events(rows, rules.limit(0)).count() == rows.count()
     nulls = rules.limit(1).withColumn("patterns", F.array(F.lit(None).cast("string")))
     assert C.classify_events(rows, nulls).filter("is_classified").count() == 0
+
+
+def test_long_types_travel_once(spark):
+    """Matches of long event types carry keys, not the texts, and tiles are cut by characters."""
+    types = spark.createDataFrame([(bytes([i]) * 32, f"w{i} " + "alpha beta gamma " * 5_000) for i in range(20)], "key binary, type string")
+    rules = spark.createDataFrame([(f"R{i}", [w], [], None, None, None, None, None, None, 1, "c", [], 1, i)
+                                   for i, w in enumerate(("alpha", "beta", "gamma", "w7 ", "none"))], RULE_SCHEMA)
+    got = R.pattern_hits(types, rules, tile_chars=100_000)
+    assert got.columns == ["key", "seq"]
+    assert sorted((r.key[0], r.seq) for r in got.collect()) == sorted([(i, s) for i in range(20) for s in range(3)] + [(7, 3)])
