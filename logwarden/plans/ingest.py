@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.functions.text import is_blank
 from logwarden.operators.knowledge import (
     chunk_docs, chunk_payload, embed, hashing_embed, mark_duplicates, validate_docs,
 )
@@ -39,8 +40,11 @@ def ingest_documents(files: DataFrame, stored: DataFrame | None = None,
     the hashing embedding is used. All documents of a file are indexed.
     """
     item = F.coalesce(F.try_element_at("metadata", F.lit("item")).try_cast("int"), F.lit(0))
-    checked = mark_duplicates(validate_docs(load_docs(files)), stored, F.col("source_path"), item)
-    checked = write_and_read(checked, "documents")
+    # two files of one path and one text are two documents, of which one is the first: rows are told apart by number
+    docs = write_and_read(validate_docs(load_docs(files)).withColumn("_row", F.monotonically_increasing_id()), "documents")
+    order = docs.select("_row", "doc_hash", "is_valid", "source_path", item.alias("_item"))
+    marks = write_and_read(mark_duplicates(order, stored, "source_path", "_item", "_row").select("_row", "is_duplicate"), "marks")
+    checked = docs.join(marks, "_row").drop("_row")
     status = (F.when(~F.col("is_valid"), "failed").when(F.col("is_duplicate"), "skipped_duplicate")
               .otherwise("indexed"))
     marked = checked.withColumn("status", status)
@@ -57,7 +61,11 @@ def ingest_documents(files: DataFrame, stored: DataFrame | None = None,
         F.col("source_path").alias("path"), "status", "doc_hash", reason.alias("reason"),
         F.when(F.col("status") == "indexed", F.col("chunks_indexed")).otherwise(0).cast("long").alias("chunks_indexed"))
     supported = extension(F.col("path")).isin(*TEXT_EXTENSIONS, *JSON_EXTENSIONS)
-    without = files.select("path").join(per_doc.select("path").distinct(), "path", "left_anti").select(
+    is_text = F.coalesce(extension(F.col("path")).isin(*TEXT_EXTENSIONS), F.lit(False))
+    # a text file gives a document unless it is blank, so each file of a repeated path is judged by itself
+    given = per_doc.select("path").distinct()
+    without = files.filter(is_text & F.coalesce(is_blank(F.col("content")), F.lit(True))).select("path").unionByName(
+        files.filter(~is_text).select("path").join(given, "path", "left_anti")).select(
         "path", F.when(supported, "failed").otherwise("skipped_unsupported").alias("status"),
         F.lit(None).cast("string").alias("doc_hash"),
         F.when(supported, "Loader returned 0 documents").alias("reason"),

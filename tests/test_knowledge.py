@@ -146,3 +146,14 @@ def test_queries_get_the_prefix(spark):
     n = len(K.QUERY_PREFIX + "a")
     assert abs(seen[0].vector[0] / seen[0].vector[2] - n) < 1e-3
     assert K.hashing_embed(spark.range(1).select(F.lit("a b a").alias("text")), dim=16).first().embedding is not None
+
+
+def test_files_of_one_path(spark):
+    """Equal paths are separate files: of equal texts one is indexed, and a blank one fails beside a filled one."""
+    text = "word " * 40
+    files = spark.createDataFrame([("/kb/a.md", text), ("/kb/a.md", text), ("/kb/a.md", "  "), ("/kb/a.md", text + "more"),
+                                   ("/kb/b.pdf", "x"), ("/kb/b.pdf", "y")], "path string, content string")
+    result = ingest_documents(files)
+    assert sorted(r.status for r in result.files.collect()) == [
+        "failed", "indexed", "indexed", "skipped_duplicate", "skipped_unsupported", "skipped_unsupported"]
+    assert result.chunks.count() == result.chunks.select("node_id").distinct().count() == 2
