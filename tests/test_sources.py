@@ -95,3 +95,16 @@ def test_upsert_by_bucket(spark, tmp_path):
     assert got == {**{i: 1 for i in range(50)}, 3: 2, 60: 2}
     with pytest.raises(Exception):
         Tables.read_table(spark, "nowhere://x")
+
+
+def test_line_numbers_beyond_the_limit_of_whole_files(spark, monkeypatch):
+    """More text of a language than one whole file may have lands in more files, which both readers read."""
+    from logwarden.plans import catalog
+    from logwarden.sources import logs
+
+    sf = "/root/testdata/sf0.001"
+    usual = catalog.q_line_numbers(spark, sf).collect()
+    monkeypatch.setattr(logs, "MAX_FILE_BYTES", 100_000)
+    read = logs.read_log_files
+    monkeypatch.setattr(logs, "read_log_files", lambda spark, path: read(spark, path, max_bytes=100_000))
+    assert catalog.q_line_numbers(spark, sf).collect() == usual and usual[0].different == 0
