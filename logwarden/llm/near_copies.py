@@ -1,12 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles, with MinHash bands as candidates.
+"""Near copies by exact Jaccard similarity of word shingles, with SimHash fingerprints and MinHash bands as candidates.
 
-SimHash cannot serve at this similarity: texts of Jaccard 0.8 differ in about 10 of 64 bits, and in 17 at times, so that no
-split of the bits into segments has useful keys.
+SimHash alone cannot serve at this similarity: texts of Jaccard 0.8 differ in about 10 of 64 bits, and in 17 at times. So the
+fingerprints find what lies within their 3 bits, by the masked variants of ``simhash``, and MinHash the rest.
 
 1. A text's shingles are runs of ``WIDTH`` words (A-Z lower-cased), as 64-bit hashes. Texts of equal sets of shingles are
    one node. ``BANDS`` keys of ``ROWS`` minimal hashes each stand for a set: two sets of Jaccard 0.8 share no key in one
-   of 14,000 cases, of 0.85 in one of 1.3 million.
-2. In the group of a key every node is compared with ``LEADS`` nodes of the group, found by one aggregation. Links are
+   of 14,000 cases, of 0.85 in one of 1.3 million. A node also has the SimHash fingerprint of its row's shingles.
+2. Fingerprints within 3 bits are linked by ``simhash.link_fingerprints``; nodes of one fingerprint, and a node of each of
+   two linked ones, are candidates. In the group of a key every node is compared with ``LEADS`` nodes of the group, found by one aggregation. Links are
    verified: the exact Jaccard similarity of the two sets is ``SIMILARITY`` or more.
 3. Groups that still fall into several components go to tasks with the sets of their nodes. A task finds the links between
    components by sparse-to-dense products of shingle matrices and returns a spanning forest of them, never pairs. A group
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from logwarden.llm.columns import ascii_lower, once, repeatable, space_words
 from logwarden.llm.components import components
-from logwarden.llm.simhash import HASHES_AT_ONCE, Forest, shingle_hashes
+from logwarden.llm.simhash import HASHES_AT_ONCE, Forest, link_fingerprints, majority_bits, shingle_hashes
 from logwarden.session import write_and_read
 
 WIDTH = 5
@@ -44,7 +45,7 @@ LEADS = 3
 BLOCK_NODES = 1_000
 BLOCK_SHINGLES = 1_000_000
 SHINGLES_AT_ONCE = 4_096
-SIGNED = "_row long, doc_id long, node long, n int, bands array<long>"
+SIGNED = "_row long, doc_id long, node long, n int, fp long, bands array<long>"
 
 _random = np.random.default_rng(7)
 MULTIPLY = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -75,7 +76,8 @@ def hashes_of(text: Column, **rest: Column) -> tuple[list[Column], Column]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: _row, doc_id, node (hash of the set of shingles), n (its size), bands (none for a text without words)."""
+    """Per row: _row, doc_id, node (hash of the set of shingles), n (its size), fp (SimHash fingerprint), bands (none for a
+    text without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, len(batch), 1000):
@@ -89,9 +91,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = band_keys(np.concatenate(full), np.cumsum([0, *map(len, full)])) if full else np.zeros(0, np.uint64)
                 ends = np.cumsum([0, *np.where(sizes > 0, BANDS, 0)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                fps = pa.array(majority_bits(values, offsets).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), part.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(sizes), bands],
-                    names=["_row", "doc_id", "node", "n", "bands"])
+                    [part.column("_row"), part.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(sizes), fps, bands],
+                    names=["_row", "doc_id", "node", "n", "fp", "bands"])
 
     first, hashes = hashes_of(F.col("`text`"), _row=F.monotonically_increasing_id(), doc_id=F.col("`doc_id`").cast("long"))
     return docs.select(*first).select("_row", "doc_id", hashes).mapInArrow(run, SIGNED)
@@ -104,6 +107,17 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return rows.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, n_a, b, n_b) by SimHash: every node with the least one of its fingerprint, and the least ones of linked
+    fingerprints with each other."""
+    own = nodes.filter("n > 0").select("node", "n", "fp")
+    least = write_and_read(own.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")), "least")
+    side = lambda name: least.select(F.col("fp").alias(f"fp_{name}"), F.col("x.node").alias(name), F.col("x.n").alias(f"n_{name}"))
+    same = own.join(side("b"), F.col("fp") == F.col("fp_b")).select(F.col("node").alias("a"), F.col("n").alias("n_a"), "b", "n_b")
+    near = link_fingerprints(least.select("fp")).toDF("fp_a", "fp_b")
+    return same.unionByName(near.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "n_a", "b", "n_b"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (node, hashes) have the similarity."""
     p, q = SIMILARITY
@@ -114,7 +128,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b) that connect all near copies; ``nodes`` has node, n, bands and _row, a row of the text."""
+    """Verified links (a, b) that connect all near copies; ``nodes`` has node, n, fp, bands and _row, a row of the text."""
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
     lead = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n")).alias(f"lead{k}") for k in range(LEADS)]
     groups = write_and_read(banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), *lead).filter(
@@ -122,9 +136,10 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = write_and_read(banded.join(groups, "key").select("node", "n", "key", *(f"lead{k}" for k in range(LEADS))), "shared")
     found = shared.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.explode(
         F.array(*(F.struct(F.col(f"lead{k}.node").alias("b"), F.col(f"lead{k}.n").alias("n_b")) for k in range(LEADS)))).alias("x"))
-    pairs = write_and_read(pairs_of(found.select("a", "n_a", "x.b", "x.n_b")), "pairs")
+    pairs = write_and_read(pairs_of(found.select("a", "n_a", "x.b", "x.n_b").unionByName(fingerprint_pairs(nodes))), "pairs")
 
-    rows = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("_row", "node")
+    compared = shared.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    rows = nodes.join(compared, "node", "left_semi").select("_row", "node")
     texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("`text`").alias("text")).join(rows, "_row")
     first, hashes = hashes_of(F.col("text"), node=F.col("node"))
     sets = write_and_read(texts.select(*first).select("node", F.array_distinct(hashes).alias("hashes")), "sets")
@@ -214,9 +229,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, the one of least doc_id; all columns kept."""
     docs = repeatable(docs)
     rows = write_and_read(signatures(docs), "signatures")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "n", "bands")).alias("least")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "n", "fp", "bands")).alias("least")
     nodes = write_and_read(rows.groupBy("node").agg(least), "nodes")
-    roots = components(links(docs, nodes.select("node", "least.n", "least.bands", "least._row")))
+    roots = components(links(docs, nodes.select("node", "least.n", "least.fp", "least.bands", "least._row")))
     rooted = nodes.join(roots, "node", "left").select(
         F.coalesce("root", "node").alias("root"), F.struct("least.none", "least.doc_id", "least._row").alias("least"))
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_keep"))

@@ -103,3 +103,12 @@ def test_shuffled_input(spark):
     expected = kept_rows([(r.doc_id, r.text) for r in docs.collect()])
     got = near_copies.keep_one(docs.repartition(7).filter(F.lit(True)))
     assert sorted(str(r.doc_id) for r in got.collect()) == expected
+
+
+def test_fingerprints_give_candidates(spark):
+    """Nodes within three bits, or of one fingerprint, are connected by the SimHash step; texts far apart are not."""
+    rows = [(1, 9, 0b0), (2, 9, 0b111), (3, 9, 0b111), (4, 9, 0b111111), (5, 9, (1 << 40) - 1), (6, 0, 0b0)]
+    nodes = spark.createDataFrame(rows, "node long, n int, fp long")
+    got = {frozenset((r.a, r.b)) for r in near_copies.fingerprint_pairs(nodes).collect() if r.a != r.b}
+    assert got == {frozenset((2, 3)), frozenset((1, 2)), frozenset((2, 4))}
+    assert near_copies.fingerprint_pairs(nodes.limit(0)).count() == 0
