@@ -125,3 +125,9 @@ def test_asked_types_alone(spark):
     for kind in ("cve", "md5", "sha1", "file_path", "filename", "domain"):
         only = found(spark, text, types=(kind,))
         assert only and only == [x for x in all_found if x[0] == kind]
+
+
+def test_process_name_needs_an_extension(spark):
+    """A process name without an extension is no file name, though the pattern of file names passes such runs."""
+    row = spark.createDataFrame([("sudo",), ("C:\\x\\Evil.EXE",)], "process_name string")
+    assert [r.v for r in row.select(I._process_field()["value"].alias("v")).collect()] == [None, "evil.exe"]
