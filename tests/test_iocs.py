@@ -131,3 +131,32 @@ def test_process_name_needs_an_extension(spark):
     """A process name without an extension is no file name, though the pattern of file names passes such runs."""
     row = spark.createDataFrame([("sudo",), ("C:\\x\\Evil.EXE",)], "process_name string")
     assert [r.v for r in row.select(I._process_field()["value"].alias("v")).collect()] == [None, "evil.exe"]
+
+
+def test_tests_ahead_of_dearer_ones_change_no_match(spark):
+    random.seed(8)
+    parts = ["cve-2024-", "CVE-1999-", "1234", "99", "é", "_", " ", "/", "/tmp", "a/b", ":", "-", "[.]", "(.)", "{}", "[", "hxxp", "H__Ps", "hXXps", "://",
+             "c2.net", "x"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(1, 12))) for _ in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    dots = F.regexp_replace("t", r"\[\.?\]|\(\.?\)|\{\.?\}", ".")
+    pairs = {"cve": (I.CVE, r"(?iU)\b(CVE-(?:19|20)\d{2}-\d{4,7})\b"), "path": (I.UNIX_PATH, I.UNIX_PATH.replace("(?=/)", ""))}
+    columns = [F.regexp_extract_all("t", F.lit(p), 1).eqNullSafe(F.regexp_extract_all("t", F.lit(q), 1)).alias(n) for n, (p, q) in pairs.items()]
+    plain = F.regexp_replace(dots, r"(?i)h(?:xx|__)p(s?)", "http$1")
+    for r in rows.select("t", *columns, (I.refang(F.col("t")) == plain).alias("refang")).collect():
+        assert r.cve and r.path and r.refang, r.t
+
+
+def test_long_texts_are_trimmed_and_located_without_patterns():
+    from logwarden.functions.text import strip
+
+    assert "regexp" not in str(strip(F.col("t")))
+    assert str(I.snippet(F.col("t"), F.col("m"))).count("instr") == 1
+    assert I.CVE.startswith("(?=") and "(?=/)" in I.UNIX_PATH
+
+
+def test_short_texts_without_marks_have_no_indicators(spark):
+    for text in ("10.1", "x" * 31, "MD5=" + "a" * 20, "user 4625 Failed"):
+        assert found(spark, text) == []
+    assert found(spark, "::2") == [("ipv6", "::2")] and found(spark, "a@b.io")[0] == ("email", "a@b.io")
+    assert found(spark, "MD5=" + "a" * 32) == [("md5", "a" * 32)]
