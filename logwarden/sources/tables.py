@@ -46,14 +46,16 @@ def upsert(new: DataFrame, path: str, key: str, merge: Callable[[DataFrame, Data
     """Merge rows into a table that lies in buckets of ``key``; only buckets with new rows are written again.
 
     The merged buckets are written aside first, because a table cannot be read
-    and overwritten at once; then they replace the old ones. One writer at a time.
+    and overwritten at once; then they replace the old ones. So are the new rows, whose buckets are asked for before they
+    are merged: they are made once. One writer at a time.
     """
     spark = new.sparkSession
     rows = new.withColumn("bucket", bucket_of(key, buckets))
     old = read_table(spark, path)
     if old is not None:
+        rows = write_and_read(rows, "new")
         touched = old.join(rows.select("bucket").distinct(), "bucket", "left_semi").select(*rows.columns)
-        merged = merge(touched.drop("bucket"), new)
+        merged = merge(touched.drop("bucket"), rows.drop("bucket"))
         rows = write_and_read(merged.withColumn("bucket", bucket_of(key, buckets)), "upsert")
     (rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))

@@ -57,3 +57,23 @@ def test_line_width_is_a_parameter(spark):
 
     rows = spark.createDataFrame([("x" * 5000,)], "raw_line string").withColumn("event_timestamp", F.lit(None).cast("timestamp"))
     assert len(event_rows(rows).first().raw_line) == 5000 and len(event_rows(rows, 4096).first().raw_line) == 4096
+
+
+def test_upsert_makes_new_rows_once(spark, tmp_path):
+    from logwarden.sources.tables import read_table, upsert
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(i):
+        made.add(1)
+        return i
+
+    def merge(old, new):
+        return old.unionByName(new).groupBy("k").agg(F.sum("v").alias("v"))
+
+    path = str(tmp_path / "t")
+    upsert(spark.range(5).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("v")), path, "k", merge)
+    new = spark.range(3, 8).select(F.udf(count, "long")("id").alias("k"), F.lit(2).cast("long").alias("v"))
+    upsert(new, path, "k", merge)
+    assert made.value == 5
+    assert sorted((r.k, r.v) for r in read_table(spark, path).collect()) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 2), (6, 2), (7, 2)]
