@@ -34,6 +34,7 @@ DISTANCE = 3
 MAX_GROUP = 200_000
 PAIRWISE = 400
 HASHES_AT_ONCE = 200_000
+BITS_AT_ONCE = 16_384  # hashes whose bits are counted at once: 64 whole numbers of eight bytes each
 HALVES = ((32, 0xFFFFFFFF00000000), (0, 0x00000000FFFFFFFF))
 FOUND = "a long, b long, variant long"  # variant: null for a link a-b, else the group that fingerprint a is left in
 
@@ -50,8 +51,8 @@ def majority_bits(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The fingerprints of rows of 64-bit hashes; row i has values[offsets[i]:offsets[i + 1]]."""
     sizes = np.diff(offsets)
     counts = np.zeros((len(sizes), 64), np.int64)
-    for first in range(int(offsets[0]), int(offsets[-1]), HASHES_AT_ONCE):
-        last = min(first + HASHES_AT_ONCE, int(offsets[-1]))
+    for first in range(int(offsets[0]), int(offsets[-1]), BITS_AT_ONCE):
+        last = min(first + BITS_AT_ONCE, int(offsets[-1]))
         begin = np.searchsorted(offsets, first, "right") - 1
         end = np.searchsorted(offsets, last, "left")
         rows = np.arange(begin, end)

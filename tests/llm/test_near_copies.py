@@ -4,6 +4,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,20 @@ def test_fingerprints_give_candidates(spark):
     got = {frozenset((r.a, r.b)) for r in near_copies.fingerprint_pairs(nodes).collect() if r.a != r.b}
     assert got == {frozenset((2, 3)), frozenset((1, 2)), frozenset((2, 4))}
     assert near_copies.fingerprint_pairs(nodes.limit(0)).count() == 0
+
+
+def test_counting_bits_needs_little_memory_whatever_the_batch():
+    import tracemalloc
+
+    from logwarden.llm.simhash import majority_bits
+
+    offsets = np.array([0, 5, 5, 150_000, 150_001, 300_000])
+    values = np.random.default_rng(3).integers(0, 1 << 63, 300_000).astype(np.uint64)
+    tracemalloc.start()
+    got = majority_bits(values, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    for row, fp in enumerate(got.tolist()):
+        part = values[offsets[row]:offsets[row + 1]]
+        assert fp == sum(1 << b for b in range(64) if 2 * int((part >> np.uint64(b) & np.uint64(1)).sum()) > len(part))
