@@ -21,9 +21,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,52 +62,80 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most_words, self.known = most_words, {}
+        self.most_words = most_words
+        self.forget()
         # a character that is one token and stands in no plain text
         self.mark, self.mark_id = next((c, ids[0]) for c in map(chr, range(0x2010, 0x2123))
                                        if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1)
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of many plain words at once: one text, with the mark between words."""
-        if not words:
-            return []
+    def forget(self) -> None:
+        """An empty table: a word's number in ``known``; word i has the ids[ends[i - 1]:ends[i]], the empty word (0) none."""
+        self.known, self.ids, self.ends = {"": 0}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Add many plain words at once: they are encoded as one text, with the mark between words."""
         ids = np.asarray(self.tokenizer.encode_batch_fast(
             [f" {self.mark} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
-        data, first, found = ids.tobytes(), 0, []
-        for end in ends:
-            found.append(data[4 * first:4 * end])
-            first = end + 1
-        return found
+        marks = np.flatnonzero(ids == self.mark_id)
+        ends = np.append(marks, len(ids)) - np.arange(len(words))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ends = np.concatenate([self.ends, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, np.delete(ids, marks)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, text: str) -> list[str] | None:
-        """The words of a plain text; None if it must be encoded whole.
+    def spaced(self, texts: list[str]) -> list[str | None]:
+        """The plain texts with white space between their words; None for those that must be encoded whole.
 
         Commas and full stops become words of their own, so that a word is remembered once, unless they stand next to
         another mark, with which the tokenizer would take them together.
         """
-        data = np.frombuffer(text.encode(), np.uint8)
-        if not PLAIN[data].all() or any(s in text for s in self.specials):
-            return None
-        marks = MARK[data]
-        if not ((data[1:] == 44) | (data[1:] == 46) | (data[:-1] == 44) | (data[:-1] == 46))[marks[1:] & marks[:-1]].any() \
-                and "×" not in text and "÷" not in text:
-            text = text.replace(",", " , ").replace(".", " . ")
-        return text.split()
+        raw = [text.encode() for text in texts]
+        whole = b"\n".join([*raw, b""])  # a new line is plain and no mark
+        data = np.frombuffer(whole, np.uint8)
+        starts = np.cumsum([0, *(len(r) + 1 for r in raw[:-1])])
+        marks, stops = MARK[data], (data == 44) | (data == 46)
+        beside = np.append(marks[1:] & marks[:-1] & (stops[1:] | stops[:-1]), False)
+        odd = np.add.reduceat(~PLAIN[data], starts, dtype=np.int64) > 0
+        met = np.add.reduceat(beside, starts, dtype=np.int64) > 0
+        for s in self.specials:
+            if s.encode() in whole:
+                odd |= [s in text for text in texts]
+        for s in "×÷":
+            if s.encode() in whole:
+                met |= [s in text for text in texts]
+        return [None if o else text if m else text.replace(",", " , ").replace(".", " . ")
+                for text, o, m in zip(texts, odd.tolist(), met.tolist(), strict=True)]
+
+    def of_words(self, texts: list[str]) -> list[bytes]:
+        """The ids of plain texts, by their words."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(self.known) + len(new) > self.most_words:
+            self.forget()
+            found = np.array([-1 if w else 0 for w in words], np.int64)
+            new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = len(self.known) + np.arange(len(new))
+            self.learn([words[i] for i in new.tolist()])
+        place = found[coded.indices.to_numpy()]
+        begins = np.append(0, self.ends[:-1])[place]
+        ends = np.append(0, np.cumsum(self.ends[place] - begins))
+        at = np.arange(ends[-1]) + np.repeat(begins - ends[:-1], np.diff(ends))
+        data, cuts = self.ids[at].tobytes(), (4 * ends[lists.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [self.words(text) for text in texts]
-        new = set().union(*(w for w in words if w)) - self.known.keys()
-        if len(self.known) + len(new) > self.most_words:
-            self.known, new = {}, set().union(*(w for w in words if w))
-        new = list(new)
-        self.known.update(zip(new, self.encode_words(new), strict=True))
-        return [self.encode([text])[0] if found is None else b"".join(map(self.known.__getitem__, found))
-                for text, found in zip(texts, words, strict=True)]
+        if not texts:
+            return []
+        spaced = self.spaced(texts)
+        plain = iter(self.of_words([s for s in spaced if s is not None]))
+        return [self.encode([text])[0] if s is None else next(plain) for text, s in zip(texts, spaced, strict=True)]
 
 
 @lru_cache(1)

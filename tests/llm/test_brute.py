@@ -382,6 +382,30 @@ def test_packing(spark, rows):
     assert len(bins) <= sum(r.length for r in got) / 2048 + 2
 
 
+def test_words_are_looked_up_once():
+    """A chunk asks the table for each of its distinct words, not for every word; and a small table that overflows is exact."""
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    texts = ["the cat, the dog. ÀÉ", "the cat " * 500, "a,.b x×y", " \t", "<|endoftext|> the", "日本 the"]
+    exact = [np.array(e.ids, "<u4").tobytes()
+             for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    words = packing.WordTokenizer(TOKENIZER)
+    assert words(texts) == exact
+    words.known = Counting(words.known)
+    assert words(texts) == exact and words.known.asked < 50
+    small = packing.WordTokenizer(TOKENIZER, 3)
+    assert [small([t])[0] for t in texts] == exact
+
+
 def test_bounded_bins():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 2049) for _ in range(20000)]
