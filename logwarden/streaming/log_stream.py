@@ -13,6 +13,8 @@ from logwarden.plans.log_run import process_lines
 from logwarden.sources.logs import MAX_FILE_BYTES, decode, log_lines, read_big_log_lines
 from logwarden.sources.tables import event_rows
 
+BYTES_A_TASK = 4_000_000  # of text: some 50,000 lines, each with all the work of parsing, indicators and rules
+
 _BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -22,16 +24,20 @@ def log_file_stream(spark: SparkSession, folder: str, max_files: int = 1000) ->
             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(folder))
 
 
-def batch_lines(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def batch_lines(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, bytes_a_task: int = BYTES_A_TASK) -> DataFrame:
     """Numbered lines of a batch's files: whole files up to the limit, larger ones read again in splits.
 
-    A batch has at most ``maxFilesPerTrigger`` files, so the paths of its large ones are few.
+    A batch has at most ``maxFilesPerTrigger`` files, so the paths of its large ones are few. A split packs files by their
+    bytes, up to 128 MB of them in one task; the numbered lines are dealt over tasks of about ``bytes_a_task``.
     """
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-size // bytes_a_task))
     small = files.filter(F.col("length") <= max_bytes).select(
         F.xxhash64("path").alias("log_id"), decode(F.col("content")).alias("content"))
     large = [r.path for r in files.filter(F.col("length") > max_bytes).select("path").collect()]
     lines = log_lines(small)
-    return lines.unionByName(read_big_log_lines(files.sparkSession, large)) if large else lines
+    lines = lines.unionByName(read_big_log_lines(files.sparkSession, large)) if large else lines
+    return lines.repartition(tasks)
 
 
 def write_batch(files: DataFrame, batch_id: int, out: str, max_bytes: int = MAX_FILE_BYTES, **options) -> None:

@@ -108,3 +108,17 @@ def test_line_numbers_beyond_the_limit_of_whole_files(spark, monkeypatch):
     read = logs.read_log_files
     monkeypatch.setattr(logs, "read_log_files", lambda spark, path: read(spark, path, max_bytes=100_000))
     assert catalog.q_line_numbers(spark, sf).collect() == usual and usual[0].different == 0
+
+
+def test_batch_lines_are_dealt_over_tasks(spark):
+    """A batch whose files come in one split keeps all cores busy, with the same numbered lines."""
+    from logwarden.streaming.log_stream import batch_lines
+
+    files = spark.createDataFrame(
+        [(f"/in/{k}", 40, "".join(f"line {i}\n" for i in range(100)).encode()) for k in range(20)],
+        "path string, length long, content binary").coalesce(1)
+    lines = batch_lines(files)
+    assert lines.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert batch_lines(files, bytes_a_task=10).rdd.getNumPartitions() == 80
+    rows = [(r.line_number, r.raw_line) for r in lines.collect()]
+    assert len(rows) == 2000 and set(rows) == {(i + 1, f"line {i}") for i in range(100)}
