@@ -164,7 +164,7 @@ def json_docs(objects: DataFrame) -> DataFrame:
     base = F.create_map(F.lit("filename"), filename(path), F.lit("loader"), F.lit("json"), F.lit("item"), F.col("_item"))
     line = F.when(F.col("jsonl_line").isNotNull(), F.create_map(F.lit("jsonl_line"), F.col("jsonl_line").cast("string"))) \
             .otherwise(F.create_map().cast("map<string,string>"))
-    own_id = F.when(scalar("id").rlike(r"(?iU)^CVE-\d{4}-\d{4,7}\b"), scalar("id"))
+    own_id = F.when(scalar("id").rlike(r"(?iU)^CVE-\d{4}-\d{4,}\b"), scalar("id"))  # a CVE number may have any number of digits
     return rows.select(
         "content", path.alias("source_path"), infer_source_type(path).alias("source_type"),
         F.coalesce(scalar("source_url"), scalar("url"), scalar("link")).alias("source_url"),

@@ -122,3 +122,11 @@ def test_batch_lines_are_dealt_over_tasks(spark):
     assert batch_lines(files, bytes_a_task=10).rdd.getNumPartitions() == 80
     rows = [(r.line_number, r.raw_line) for r in lines.collect()]
     assert len(rows) == 2000 and set(rows) == {(i + 1, f"line {i}") for i in range(100)}
+
+
+def test_json_ids_of_any_length(spark):
+    ids = ["CVE-2024-1234", "CVE-2024-1234567", "cve-2024-10010000", "CVE-2024-6000010000", "CVE-2024-123", "CVE-2024-12345678x", "x CVE-2024-1234"]
+    rows = [("/nvd/feed.jsonl", None, '{"description": "d%d", "id": "%s"}' % (i, v)) for i, v in enumerate(ids)]
+    got = Docs.json_docs(spark.createDataFrame(rows, "path string, jsonl_line int, object string")).select("content", "cve_id").collect()
+    assert {r.content: r.cve_id for r in got} == {
+        "d0": "CVE-2024-1234", "d1": "CVE-2024-1234567", "d2": "CVE-2024-10010000", "d3": "CVE-2024-6000010000", "d4": None, "d5": None, "d6": None}
