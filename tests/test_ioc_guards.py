@@ -25,3 +25,24 @@ def test_guards_hold_for_every_match(spark):
         assert r.named or not (r.domain or r.filename), r.t
         assert set(r.path) <= set(r.hits), r.t
         assert r.hex == bool(re.search("[0-9a-fA-F]{32}", r.t))
+
+
+def test_plain_words_of_long_texts_hold_no_indicator(spark, monkeypatch):
+    """A long text gives the same indicators, in the same order, with its plain words and without; and is much shorter without."""
+    random.seed(9)
+    parts = ["word", "X9", "a" * 31, "b" * 32, "0f" * 16, "0f" * 15, "evil.com", "a[.]org", "1.2.3.4", "10 .1", "::1", "2001:db8::7", "CVE-2024-12345",
+             "me@x.org", "hxxp://u.net/a", "HxXp://v.net", "c:\\My Files\\a b.exe", "HKLM\\Soft ware\\Run x", "/usr/lo cal/bin", "/tmp/a/drop.sh",
+             "MD5=" + "a1" * 16, "run.exe", "caf\u00e9", "\u212a", "-", ".", "(", "'", "\n", "\t", "\u00a0", "  "]
+    texts = [" ".join(random.choice(parts) for _ in range(random.randint(1, 60))) + random.choice(["", " x" * 300, " x y" * 200 + " "]) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+
+    def hits(least):
+        monkeypatch.setattr(I, "LONG_TEXT", least)
+        return {r.i: r.hits for r in df.select("i", I.extract_from_text(F.col("t")).alias("hits")).collect()}
+
+    dropped, kept = hits(1), hits(10**9)
+    assert dropped == kept and {h.ioc_type for v in kept.values() for h in v or ()} >= {"domain", "file_path", "cve", "md5", "ipv4", "filename"}
+    assert I.LONG_TEXT == 10**9
+    monkeypatch.setattr(I, "LONG_TEXT", 1_000)
+    long = spark.createDataFrame([("CVE-2024-10000 " + "x " * 20_000 + "evil.com",)], "t string")
+    assert long.select(F.length(I._without_plain_words(F.col("t")))).first()[0] < 30
