@@ -130,3 +130,23 @@ def test_json_ids_of_any_length(spark):
     got = Docs.json_docs(spark.createDataFrame(rows, "path string, jsonl_line int, object string")).select("content", "cve_id").collect()
     assert {r.content: r.cve_id for r in got} == {
         "d0": "CVE-2024-1234", "d1": "CVE-2024-1234567", "d2": "CVE-2024-10010000", "d3": "CVE-2024-6000010000", "d4": None, "d5": None, "d6": None}
+
+
+def test_detection_texts_spare_no_match():
+    """A line that a signature matches holds one of its needed texts, so the cheap test ahead of it loses nothing."""
+    import random
+    import re
+
+    random.seed(4)
+    parts = ["<EventID>12</EventID>", "<EVENTID>77", "<Data  Name=\"processguid\"", "<DATA Name=\"SourceIp\"", "<data Name=\"RULENAME\"", "md5=" + "0a" * 16,
+             "<Event xmlns='x'", "<CHANNEL>a</channel>",
+             "<Provider Name=", "EventID = 4", "keywords:", "Log Name :", "Source name:", "Event Type:", "security ID:", "Account  Name:", "Logon Type :", "elfFILE",
+             "sshd[1]:", "su:", " auth:", "AUTHPRIV:", "Invalid User", "Accepted Password", "sudo : x TTY=", "PAM_unix(", "kernel: [1.2]", '"GET /', 'HTTP/1.1" 200 5', "[WARN]",
+             "ah00128:", '"-" "Mozilla/', "FastCGI", "connect() failed", "No live upstreams", "Recv() failed", "nginx/1.2.3", "Microsoft-WINDOWS-Sysmon", " ", "x"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(1, 4))) for _ in range(20_000)]
+    for patterns in D.SIGNATURES.values():
+        for pattern, _ in patterns:
+            needed, hits = D.needed_texts(pattern), [t for t in texts if re.search(pattern, t)]
+            assert hits or not needed, pattern
+            assert not needed or all(any(n in t.lower() for n in needed) for t in hits), pattern
+    assert sum(len(p) for p in D.SIGNATURES.values()) < 64 and sum(not D.needed_texts(p) for ps in D.SIGNATURES.values() for p, _ in ps) == 5
