@@ -46,3 +46,14 @@ def test_plain_words_of_long_texts_hold_no_indicator(spark, monkeypatch):
     monkeypatch.setattr(I, "LONG_TEXT", 1_000)
     long = spark.createDataFrame([("CVE-2024-10000 " + "x " * 20_000 + "evil.com",)], "t string")
     assert long.select(F.length(I._without_plain_words(F.col("t")))).first()[0] < 30
+
+
+def test_indicators_without_contexts(spark, lines):
+    """The same indicators of events, with contexts or without."""
+    from logwarden.operators import parse
+
+    many = " ".join(f"CVE-2024-{i}" for i in range(10_000, 10_060))
+    events = parse.parse_syslog(lines("linux_syslog", f"Jul  1 10:23:11 web sshd[12]: Failed password for root from 185.24.18.15 port 52431 ssh2 {many}"), 2024)
+    whole, bare = (I.add_event_iocs(events, contexts=c).first().iocs for c in (True, False))
+    assert len(whole) > 60 and [h[:4] for h in whole] == [h[:4] for h in bare]
+    assert all(h.context is None for h in bare) and sum(h.context is not None for h in whole) >= 60
